@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -28,6 +28,18 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.translate(WORD_BYTES).split() if text else []
 
 
+def once(name: str, make: Callable[[], object]) -> object:
+    """An object that a Python worker makes once and keeps for all its tasks. Functions that travel by value have no module
+    to keep it in, so it lives in one of its own."""
+    import sys
+    import types
+
+    kept = sys.modules.setdefault("_tidemark_kept", types.ModuleType("_tidemark_kept")).__dict__
+    if name not in kept:
+        kept[name] = make()
+    return kept[name]
+
+
 def text_batches(spark: SparkSession) -> None:
     """Keeps Arrow batches small for plans that send whole texts to Python."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, pieces, text_batches
+from .common import BROADCAST_ROWS, cut, once, pieces, text_batches
 
 #: Tokens in a sequence (a power of two).
 CAPACITY = 1024
@@ -30,7 +30,7 @@ DEPTH, STEP = 3, 16
 #: Padding that a greedy pattern may leave; tails that would leave more are cut.
 SLACK = 0
 #: Pieces for each salt of the groups that ranks are counted in, and the most salts.
-GROUP, SALTS = 2_000, 65_536
+GROUP, SALTS = 4_000, 65_536
 END = 0
 SPECIAL = "<|endoftext|>"
 
@@ -50,9 +50,7 @@ class Encoder:
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.whole = Tokenizer.from_file(path)
+        self.path, self.whole = path, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
@@ -72,6 +70,10 @@ class Encoder:
 
     def __call__(self, text: str) -> list[int]:
         if self.fast is None or any(s in text for s in self.special):
+            if self.whole is None:
+                from tokenizers import Tokenizer
+
+                self.whole = Tokenizer.from_file(self.path)
             return self.whole.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)  # type: ignore[attr-defined]
 
@@ -85,7 +87,7 @@ def cutter(path: str, capacity: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
     """Headers of every document's pieces: full windows, then the tail with the checksums of its parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(path)
+        encode = once(f"encoder {path}", lambda: Encoder(path))
         for whole in batches:
             for batch in pieces(whole):
                 rows: list[tuple] = []
@@ -285,7 +287,7 @@ def pack(documents: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_c
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     heads = cut(docs.mapInArrow(cutter(tokenizer, capacity), PIECE))
     total = heads.count()
-    groups = min(SALTS, max(16, total // GROUP))
+    groups = min(SALTS, max(32, total // GROUP))
     salted = heads.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
     counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -295,7 +297,7 @@ def pack(documents: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_c
     order = Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")
     ranked = salted.withColumn("place", F.row_number().over(order) - 1)
     side = counts.select("length", "salt", "before")
-    ranked = ranked.join(F.broadcast(side) if groups * capacity <= 1_000_000 else side, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("place"))
+    ranked = ranked.join(F.broadcast(side) if groups * capacity <= BROADCAST_ROWS // 4 else side, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("place"))
     schema = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
