@@ -1,0 +1,311 @@
+"""Top-k, license scan, line dedup, quality, sharding, language ID and WARC, each against a plain version and odd rows."""
+
+from __future__ import annotations
+
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.llm import langid, license_scan, line_dedup, quality, sharding, topk, warc
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def brute_topk(rows: list[tuple], k: int = 5) -> dict[int, list[tuple[int, int]]]:
+    ok = [(i, [int(np.floor(256 * float(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    out: dict[int, list[tuple[int, int]]] = {}
+    for q, a in ok:
+        if q % 50 == 0:
+            best: dict[int, int] = {}
+            for i, b in ok:
+                if i != q:
+                    s = sum(x * y for x, y in zip(a, b))
+                    best[i] = max(best.get(i, s), s)
+            out[q] = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:k]
+    return out
+
+
+def as_lists(df) -> dict[int, list[tuple[int, int]]]:  # noqa: ANN001
+    out: dict[int, list[tuple[int, int]]] = {}
+    for r in df.orderBy("query_id", "rank").collect():
+        own = out.setdefault(r["query_id"], [])
+        own.append((r["vec_id"], r["score"]))
+        assert r["rank"] == len(own)
+    return out
+
+
+def test_topk_matches_brute_force(spark):  # noqa: ANN001
+    rng = np.random.default_rng(0)
+    rows = [(i, (rng.normal(size=12) * rng.lognormal(0, 1)).astype(np.float32).tolist()) for i in range(700)]
+    rows += [(i, rows[3][1]) for i in range(700, 900)]  # one very common vector: many ties
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert as_lists(topk.top_k(df)) == brute_topk([(r[0], r[1]) for r in df.collect()])
+
+
+def test_topk_odd_rows(spark):  # noqa: ANN001
+    rows = [
+        (0, [1.0, 2.0], "x"), (50, [1.0], "y"), (None, [9.0, 9.0], "z"), (1, None, None), (2, [float("nan"), 1.0], "a"), (3, [float("inf"), 1.0], "b"), (4, [None, 1.0], "c"), (5, [], "d"),
+        (6, [-1.5, 0.3], "e"), (6, [-1.5, 0.3], "e"), (7, [3e30, -2e30], "f"), (100, [1e30, 1.0], "g"),
+    ]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, query_id string")
+    got = as_lists(topk.top_k(df))
+    assert set(got) == {0, 50, 100}
+    assert [i for i, _ in got[0]][:2] == [100, 50] or got[0][0][0] == 100
+    assert len({i for i, _ in got[0]}) == len(got[0]) == 5
+    assert got[100][0][0] == 7 and got[100][0][1] == (1 << 63) - 1
+    assert as_lists(topk.top_k(df.limit(0))) == {}
+    assert as_lists(topk.top_k(df.where("vec_id = 50"))) == {}
+
+
+def test_blocks_see_every_candidate(spark, monkeypatch):  # noqa: ANN001
+    monkeypatch.setattr(topk, "BLOCK_NUMBERS", 64 * 4)
+    rng = np.random.default_rng(1)
+    df = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(3400)], "vec_id long, embedding array<double>")
+    assert as_lists(topk.top_k(df)) == brute_topk([tuple(r) for r in df.collect()])
+
+
+def dice(a: str, b: str) -> float:
+    x, y = set(license_scan.bigrams(a)), set(license_scan.bigrams(b))
+    return 2 * len(x & y) / (len(x) + len(y)) if x and y else 0.0
+
+
+def test_license_scan(spark):  # noqa: ANN001
+    long = license_scan.TEMPLATES[1][1]
+    rows = [
+        (1, "Some words.\nReleased under the MIT License.\nMore."), (2, "x " * 30_000 + "\n" + long), (3, "Licensed under CC BY-NC 4.0. And prose goes on."), (4, None), (5, ""), (6, "license"),
+        (7, "This work is licensed under the GNU General Public License, version 3."), (7, "This work is licensed under the GNU General Public License, version 3."),
+        (8, "ÄÖ Übung license Übung"), (None, "RELEASED UNDER THE   mit license"),
+    ]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, license string")
+    got = license_scan.scan(df).collect()
+    found = {(r["doc_id"], r["license"], r["dice"]) for r in got}
+    assert len(got) == len(rows)
+    assert {(1, "MIT", 1.0), (2, "Apache-2.0", 1.0), (3, "CC-BY-NC-4.0", 1.0), (4, None, 0.0), (5, None, 0.0), (6, None, 0.0), (7, "GPL-3.0", 1.0), (8, None, 0.0), (None, "MIT", 1.0)} == found
+    assert license_scan.scan(df.limit(0)).collect() == []
+    assert license_scan.scan(df, templates=[]).where("license is not null").collect() == []
+
+
+def test_license_filter_loses_nothing():
+    rnd = random.Random(2)
+    for name, text in license_scan.TEMPLATES:
+        grams = license_scan.bigrams(text)
+        words, phrases = license_scan.needed(grams, 0.8)
+        for _ in range(40):
+            tokens = text.split()
+            for _ in range(rnd.randint(0, max(1, len(tokens) // 8))):
+                tokens[rnd.randrange(len(tokens))] = rnd.choice(["foo", "bar", "the"])
+            changed = " ".join(tokens)
+            if dice(changed, text) >= 0.8:
+                own = license_scan.bigrams(changed)
+                assert any(w in g for g in own for w in words) or set(own) & phrases, (name, changed)
+
+
+def brute_lines(rows: list[tuple], ratio: float, least: int) -> dict:
+    pages: dict = {}
+    for _, text, host in rows:
+        if text is not None:
+            pages.setdefault(host, set()).add(text)
+    bad = {h: {x for x in {y.strip(" ") for t in ts for y in t.split("\n")} if x and (n := sum(x in {y.strip(" ") for y in t.split("\n")} for t in ts)) >= least and n > ratio * len(ts)} for h, ts in pages.items()}
+    out = []
+    for i, text, host in rows:
+        if text is None:
+            out.append((i, None, 0, 0))
+            continue
+        lines = text.split("\n")
+        full = [x for x in lines if x.strip(" ")]
+        kept = [x for x in lines if x.strip(" ") not in bad[host]]
+        n_kept = len([x for x in kept if x.strip(" ")])
+        spared = n_kept == 0 or n_kept == len(full)
+        out.append((i, text if spared else "\n".join(kept), len(full), 0 if n_kept == 0 else len(full) - n_kept))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("limit", [line_dedup.BROADCAST_ROWS, 0])
+def test_line_dedup(spark, monkeypatch, limit):  # noqa: ANN001
+    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", limit)
+    rnd = random.Random(3)
+    rows = []
+    for i in range(300):
+        lines = [f"own {i} {j}" for j in range(rnd.randint(0, 4))] + [" menu "] * (rnd.random() < 0.5) + ["menu"] * (rnd.random() < 0.2) + [""] * (rnd.random() < 0.3) + [f"half {rnd.randint(0, 30)}"]
+        rnd.shuffle(lines)
+        rows.append((i, "\n".join(lines), rnd.choice(["a", "a", "b", None])))
+    rows += [(i, "copied page\nof two lines", "a") for i in range(300, 500)]  # copies of a page count once
+    rows += [(500 + i, "menu", "a") for i in range(5)] + [(600, None, "a"), (601, "", "c"), (1, rows[1][1], rows[1][2]), (602, "menu\n" + "word " * 20_000, "a")]
+    df = spark.createDataFrame([(*r, 1, "clash") for r in rows], "doc_id long, text string, source string, n_lines int, host string")
+    got = line_dedup.dedup_lines(df, ratio=0.1, least=5)
+    assert sorted(((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in got.collect()), key=str) == brute_lines(rows, 0.1, 5)
+    assert got.where("n_dropped > 0").count() > 50
+    assert line_dedup.dedup_lines(df.limit(0)).collect() == []
+
+
+def brute_marginals(u: list[float], t: np.ndarray) -> list[float]:
+    n = len(u)
+    total, good = 0.0, [0.0] * n
+    for code in range(1 << n):
+        y = [code >> k & 1 for k in range(n)]
+        w = np.exp(sum(u[k] * y[k] for k in range(n)) + sum(t[y[k], y[k + 1]] for k in range(n - 1)))
+        total += w
+        for k in range(n):
+            good[k] += w * y[k]
+    return [g / total for g in good]
+
+
+def test_forward_backward_is_exact():
+    rng = np.random.default_rng(4)
+    sizes = np.array([3, 1, 5, 2])
+    u, t = rng.normal(size=11), rng.normal(size=(2, 2))
+    a, b = quality.messages(u, sizes, t)
+    got = quality.sigmoid(a + b)
+    want = [x for part in np.split(u, np.cumsum(sizes)[:-1]) for x in brute_marginals(part.tolist(), t)]
+    assert np.allclose(got, want)
+
+
+def quality_rows(n: int) -> list[tuple]:
+    rnd = random.Random(5)
+    words = ["river", "stone", "about", "letter", "which", "house", "garden", "never"]
+    rows = []
+    for i in range(n):
+        good = rnd.random() < 0.7
+        line = lambda: " ".join(rnd.choice(words) for _ in range(12)).capitalize() + "." if good else " ".join(rnd.choice(words) + rnd.choice(["###", "$$$"]) for _ in range(12))  # noqa: E731, B023
+        rows.append((i, "\n".join(line() for _ in range(rnd.randint(1, 6))), int(good)))
+    return rows
+
+
+def test_quality_on_held_out_documents(spark):  # noqa: ANN001
+    rows = quality_rows(500)
+    odd = [(900, None), (901, ""), (902, " \n "), (903, "word " * 30_000), (0, rows[0][1]), (None, "Some text.")]
+    docs = spark.createDataFrame([r[:2] for r in rows] + odd, "doc_id long, text string").withColumns({"score": F.lit("clash"), "held_out": F.lit("clash")})
+    labels = spark.createDataFrame([(r[0], r[2], 0) for r in rows] + [(None, 1, 0), (5, None, 0)], "doc_id long, quality int, toxic int")
+    got = quality.classify(docs, labels)
+    assert got.columns == ["doc_id", "held_out", "score", "predicted"]
+    found = got.collect()
+    assert len(found) == len(rows) + len(odd) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in found)
+    truth = {r[0]: r[2] for r in rows}
+    held = [r for r in found if r["held_out"] and r["doc_id"] in truth]
+    assert len(held) > 100 and np.mean([r["predicted"] == truth[r["doc_id"]] for r in held]) > 0.95
+    again = {r["doc_id"]: r["score"] for r in quality.classify(docs, labels).collect()}
+    assert all(again[r["doc_id"]] == r["score"] for r in found)
+    assert quality.classify(docs.limit(0), labels).collect() == []
+    assert quality.classify(docs, labels.limit(0)).count() == len(found)
+
+
+def test_quality_lines(spark):  # noqa: ANN001
+    rows = quality_rows(300)
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = quality.fit(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int"))
+    mixed = spark.createDataFrame([(1, rows[0][1] + "\n\n" + rows[1][1])], "doc_id long, text string")
+    r = quality.score(mixed, model, lines=True).first()
+    assert len(r["line_scores"]) == sum(bool(x.strip()) for x in mixed.first()["text"].split("\n"))
+
+
+def plain_table(names: list[str], slots: int) -> list[str]:
+    table: dict[int, str] = {}
+    start = {n: sharding._draw(n, "offset") % slots for n in names}
+    skip = {n: sharding._draw(n, "skip") % (slots - 1) + 1 for n in names}
+    order = {n: iter([(start[n] + j * skip[n]) % slots for j in range(slots)]) for n in names}
+    while len(table) < slots:
+        for n in sorted(names):
+            for s in order[n]:
+                if s not in table:
+                    table[s] = n
+                    break
+            if len(table) == slots:
+                break
+    return [table[s] for s in range(slots)]
+
+
+def test_sharding(spark):  # noqa: ANN001
+    names = sharding.shard_names(7)
+    owner = sharding.lookup_table(names, 251)
+    assert [names[i] for i in owner] == plain_table(names, 251)
+    counts = np.bincount(owner)
+    assert counts.max() - counts.min() <= 1
+    fewer = sharding.lookup_table(names[:-1], 251)
+    stays = [a == b for a, b in zip(owner, fewer) if a != 6]
+    assert np.mean(stays) > 0.6
+    df = spark.createDataFrame([(i, "a") for i in range(2000)] + [(None, "b"), (None, "c"), (5, "d")], "doc_id long, slot string")
+    got = sharding.place(df, names, slots=251)
+    assert got.columns == ["doc_id", "slot", "shard"] and got.count() == 2003
+    assert got.groupBy("doc_id").agg(F.countDistinct("shard").alias("n")).where("n > 1").count() == 0
+    import hashlib
+
+    for r in got.where("doc_id < 20").collect():
+        slot = int(hashlib.md5(f"k{r['doc_id']}".encode()).hexdigest()[:15], 16) % 251
+        assert (r["slot"], r["shard"]) == (slot, names[owner[slot]])
+    assert sharding.place(df.limit(0), names, slots=251).count() == 0
+    with pytest.raises(ValueError):
+        sharding.lookup_table(names, 250)
+    with pytest.raises(ValueError):
+        sharding.lookup_table([], 251)
+
+
+SAMPLES = {
+    "en": "the house and the garden with the old stones that were there when they came", "de": "das haus und der garten mit den alten steinen die dort waren als sie kamen",
+    "fr": "la maison et le jardin avec les vieilles pierres qui étaient là quand ils sont venus", "es": "la casa y el jardín con las viejas piedras que estaban allí cuando ellos llegaron",
+}
+
+
+def lang_rows(n: int) -> list[tuple]:
+    rnd = random.Random(6)
+    out = []
+    for i in range(n):
+        lang = rnd.choice(sorted(SAMPLES))
+        words = SAMPLES[lang].split()
+        out.append((i, " ".join(rnd.choice(words) for _ in range(rnd.randint(8, 60))), lang, f"src{rnd.randint(0, 4)}", 0))
+    return out
+
+
+def test_language_of_documents(spark):  # noqa: ANN001
+    rows = lang_rows(400)
+    odd = [(900, None, "en", "src0", 0), (901, "", "en", "src0", 0), (902, "123 !!! ...", "en", "src1", 0), (903, rows[0][1] * 2000, rows[0][2], None, 0), (904, rows[1][1], None, "src1", 0), (1, rows[1][1], rows[1][2], "src2", 0), (None, rows[2][1], rows[2][2], "src0", 0)]
+    docs = spark.createDataFrame(rows + odd, DOCS).withColumn("posterior", F.lit("clash"))
+    got = langid.of_documents(docs).collect()
+    assert len(got) == len(rows) + len(odd)
+    truth = {r[0]: r[2] for r in rows} | {903: rows[0][2], 904: rows[1][2]}
+    known = [r for r in got if r["doc_id"] in truth]
+    assert np.mean([r["lang"] == truth[r["doc_id"]] and r["accepted"] for r in known]) == 1.0
+    assert {r["doc_id"] for r in got if not r["accepted"]} == {900, 901, 902}
+    kept = langid.accepted(docs)
+    assert kept.columns == docs.columns and kept.count() == len(got) - 3
+    assert langid.of_documents(docs.limit(0)).collect() == []
+
+
+def test_evidence_beats_short_text(spark):  # noqa: ANN001
+    rows = [(i, t, l, f"https://www.site{i % 3}.{l}/x", "") for i, t, l, _, _ in lang_rows(300)]
+    rows += [(900, "la", "fr", "https://www.site0.fr/y", ""), (901, "la", "es", "https://www.site0.es/y", "")]
+    df = spark.createDataFrame(rows, "page_id long, text string, declared string, url string, x string")
+    got = {r["page_id"]: r["lang"] for r in langid.identify(df, id_col="page_id", declared=F.col("declared"), url=F.col("url")).collect()}
+    assert (got[900], got[901]) == ("fr", "es")
+
+
+def test_trigrams_by_hand():
+    classes = langid.letter_classes()
+    owner, code = langid.trigrams(["ab c", None, "", "É!"], classes)
+    by_text = {i: sorted(code[owner == i].tolist()) for i in range(4)}
+    k = langid.CLASSES
+    assert by_text[0][:1] and by_text[1] == by_text[2] == []
+    assert (1 * k + 2) * k + 0 in by_text[0]
+
+
+def test_warc(spark):  # noqa: ANN001
+    page = '<html lang="de"><head><title>A &amp; B</title><script>x("</p>")</script></head><body><p>Hallo<br>Welt &lt;3</p><a href="/x">l</a><!-- no --></body></html>'
+    rows = [(1, "http://a.de/", page), (2, None, None), (3, "http://b/", ""), (1, "http://a.de/", page), (4, "http://c/", "plain " * 30_000)]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, block string")
+    headers = F.create_map(F.lit("Content-Type"), F.lit("text/html"))
+    got = warc.derivatives(df, headers=headers)
+    found = got.collect()
+    assert len(found) == 2 * len(rows)
+    one = {r["record_type"]: r for r in found if r["page_id"] == 1}
+    assert one["conversion"]["block"] == "A & B\nHallo\nWelt <3\nl"
+    assert "source-header-content-type: text/html\r\n" in one["metadata"]["block"] and "outlink: /x a/href\r\n" in one["metadata"]["block"]
+    assert one["conversion"]["refers_to"] == one["metadata"]["refers_to"] != one["conversion"]["record_id"]
+    assert one["conversion"]["payload_digest"] == warc.digest(page.encode())
+    data = b"".join(bytes(r["warc"]) for r in warc.serialise(got).collect())
+    back = warc.parse(data)
+    assert len(back) == len(found)
+    want = sorted((r["record_id"], r["refers_to"], r["block"], r["block_digest"]) for r in found)
+    assert sorted((r["warc-record-id"], r["warc-refers-to"], r["block"].decode(), r["warc-block-digest"]) for r in back) == want
+    assert all(warc.digest(r["block"]) == r["warc-block-digest"] for r in back)
+    assert warc.derivatives(df.limit(0)).collect() == []

@@ -194,7 +194,7 @@ def _cell(threshold: float, tolerance: float) -> Callable[[pa.Table], pa.Table]:
         if not len(x):
             return
         ux, uy = np.unique(x), np.unique(y)
-        both = overlaps([sets_l[i] for i in ux], [sets_r[i] for i in uy])[np.searchsorted(ux, x), np.searchsorted(uy, y)]
+        both = overlaps([sets_l[i] for i in ux], [sets_r[i] for i in uy])[np.searchsorted(ux, x), np.searchsorted(uy, y)].astype(np.float64)
         ok = both * (1 + threshold) >= threshold * (n_l[x] + n_r[y]) - 1e-6
         yield from zip([left[i] for i in x[ok]], [right[i] for i in y[ok]])
 
