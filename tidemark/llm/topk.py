@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.runtime import calm_blas
+
 #: Hits of a query, and the id step that makes a row a query.
 K, EVERY = 5, 50
 #: Factor that turns components into integers.
@@ -48,6 +50,14 @@ def exact_scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.array([sum(int(a) * int(b) for a, b in zip(x, y)) for x, y in zip(q, c)], object)
 
 
+def sortable(n: int) -> str:
+    """A text that sorts as the integer does, of any size."""
+    digits = str(abs(n))
+    if n >= 0:
+        return f"p{len(digits):04d}{digits}"
+    return f"n{9999 - len(digits):04d}" + digits.translate(str.maketrans("0123456789", "9876543210"))
+
+
 class Best:
     """The k best (score, vec_id) of each query so far; a vec_id counts once, with its best score."""
 
@@ -141,6 +151,7 @@ def top_k(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embe
     sums = rows.select("v").mapInArrow(_gram(width), "i long, j long, x double").groupBy("i", "j").agg(F.sum("x").alias("x"))
     for r in sums.toLocalIterator():  # width squared rows, whatever the table holds
         gram[r["i"], r["j"]] = r["x"]
+    calm_blas()
     rotation = np.linalg.svd(gram)[0]
     length = F.expr("aggregate(v, 0D, (a, x) -> a + x * x)")
     seed = rows.orderBy(length.desc(), "id").limit(max(16, min(1024, SEED_NUMBERS // width))).collect()
@@ -161,14 +172,12 @@ def top_k(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embe
             q, c = matrix(left.column("v").to_pylist(), width), matrix(right.column("w").to_pylist(), width)
             start = search(q, q_ids, seed_vectors, seed_ids, rotation, k, np.full(len(q), -np.inf))
             got = search(q, q_ids, c, ids, rotation, k, start.least)
-            found = [(int(a), int(i), min(max(int(s), LONG[0]), LONG[1]), str(int(s))) for a, own in zip(q_ids, got.found) for i, s in own.items()]
+            found = [(int(a), int(i), min(max(int(s), LONG[0]), LONG[1]), sortable(int(s))) for a, own in zip(q_ids, got.found) for i, s in own.items()]
         columns = list(zip(*found)) or [()] * 4
-        return pa.table({"query_id": pa.array(list(columns[0]), pa.int64()), "vec_id": pa.array(list(columns[1]), pa.int64()), "score": pa.array(list(columns[2]), pa.int64()), "exact": pa.array(list(columns[3]), pa.string())})
+        return pa.table({"query_id": pa.array(list(columns[0]), pa.int64()), "vec_id": pa.array(list(columns[1]), pa.int64()), "score": pa.array(list(columns[2]), pa.int64()), "wide": pa.array(list(columns[3]), pa.string())})
 
-    kind = T.StructType([*HIT.fields, T.StructField("exact", T.StringType())])
+    kind = T.StructType([*HIT.fields, T.StructField("wide", T.StringType())])
     hits = asked.groupBy("q", "c").cogroup(held.groupBy("q", "c")).applyInArrow(cell, kind)
-    # A score beyond 64 bits is ordered by its decimal text; all others as longs, which saturate in the same order.
-    wide = F.when(F.length("exact") > 18, F.col("exact").cast("decimal(38,0)")).otherwise(F.col("score").cast("decimal(38,0)"))
-    hits = hits.withColumn("wide", F.coalesce(wide, F.col("score").cast("decimal(38,0)"))).groupBy("query_id", "vec_id").agg(F.max("wide").alias("wide"), F.max("score").alias("score"))
+    hits = hits.groupBy("query_id", "vec_id").agg(F.max("wide").alias("wide"), F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.col("wide").desc(), "vec_id")
     return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
