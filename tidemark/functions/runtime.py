@@ -44,6 +44,22 @@ def dense_index(df: DataFrame, key: str, ties: list[str], name: str = "internal"
     return rows.withColumn("__place", place).join(F.broadcast(before), "__block").withColumn(name, (F.col("__before") + F.col("__place") + F.lit(start - 1)).cast("long")).drop("__block", "__place", "__before")
 
 
+def calm_blas() -> None:
+    """One thread for NumPy's bundled BLAS in this process: its threads can wait for each other forever in a process that
+    has forked, as a Spark driver has, and tasks share cores anyway."""
+    import ctypes
+    import glob
+    import os
+
+    import numpy
+
+    for path in glob.glob(os.path.join(os.path.dirname(numpy.__file__), "..", "numpy.libs", "*openblas*")):
+        lib = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(lib, name):
+                getattr(lib, name)(1)
+
+
 def table_of(spark: SparkSession, values: object, name: str) -> DataFrame:
     """A one-column table of ids: from a DataFrame (its column of that name, or its only one) or a collection."""
     if isinstance(values, DataFrame):

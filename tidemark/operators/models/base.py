@@ -13,7 +13,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.runtime import table_of
+from tidemark.functions.runtime import calm_blas, table_of
 from tidemark.functions.scalar import full_path, import_object, make_dict_flat, unflatten_dict
 from tidemark.operators.rank import with_rank
 from tidemark.schema import Columns, NotFittedError
@@ -115,12 +115,14 @@ class ModelBase:
     # Fitting and recommending.
 
     def fit(self, dataset: Dataset, *args: Any, **kwargs: Any) -> ModelBase:
+        calm_blas()
         self._fit(dataset, *args, **kwargs)
         self.is_fitted = True
         return self
 
     def fit_partial(self, dataset: Dataset, *args: Any, **kwargs: Any) -> ModelBase:
         """Continues a fit where the model supports it."""
+        calm_blas()
         self._fit_partial(dataset, *args, **kwargs)
         self.is_fitted = True
         return self

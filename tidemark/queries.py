@@ -16,6 +16,7 @@ from tidemark.functions.runtime import dense_index
 from tidemark.operators import metrics as M
 from tidemark.operators import models as O
 from tidemark.operators.metrics.base import debias_interactions, merge_reco, outer_merge_reco
+from tidemark.operators.models.sequential import masked_sessions, sessions
 from tidemark.operators.rank import VectorRanker, recommend_from_scores, with_rank
 from tidemark.operators.splits import LastNSplitter, RandomSplitter, TimeRangeSplitter, get_not_seen, leave_one_out
 from tidemark.plans.cross_validate import cross_validate_table
@@ -172,7 +173,7 @@ def context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(Columns.User, Columns.Datetime, Columns.Weight)
 
 
-@query("select p_partkey - 1 as id, p_size::double as size, round(p_retailprice, 2) as price from part")
+@query("select row_number() over (order by p_partkey) - 1 as id, p_size::double as size, round(p_retailprice, 2) as price from part")
 def dense_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     ids = IdMap.from_values(part.withColumn("row", F.col("p_partkey")), "p_partkey", "row")
@@ -186,7 +187,7 @@ def dense_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed as (select id, feature, case when feature = 'size' then '__is_direct_feature' else value end as value, case when feature = 'size' then value::double else 1.0 end as x,
       case feature when 'brand' then 1 when 'type' then 2 else 0 end as block, rid from rows),
     names as (select feature, value, row_number() over (order by min(block), min(rid), feature, value) - 1 as col from keyed group by 1, 2)
-    select id - 1 as id, col, names.feature, names.value, sum(x)::double as x from keyed join names using (feature, value) group by 1, 2, 3, 4"""
+    select n as id, col, names.feature, names.value, sum(x)::double as x from keyed join names using (feature, value) join (select p_partkey as id, row_number() over (order by p_partkey) - 1 as n from part) using (id) group by 1, 2, 3, 4"""
 )
 def sparse_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = item_features(spark, sf_dir)
@@ -403,29 +404,33 @@ def _knn_reco_sql(weighting: str) -> str:
         _knn_sql(weighting)
         + """, r as (select m.user_id, k.item_id, sum(m.x * k.s) as score from m join k on m.item_id = k.t group by 1, 2),
     f as (select * from r where not exists (select 1 from m where m.user_id = r.user_id and m.item_id = r.item_id))
-    select user_id, rank, round(score, 2) as score from (select *, row_number() over (partition by user_id order by score desc, item_id)::int as rank from f) where rank <= 10"""
+    select user_id, rank, round(score, 4) as score from (select *, row_number() over (partition by user_id order by score desc, item_id)::int as rank from f) where rank <= 10"""
     )
 
 
 def _knn(weighting: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ds = Dataset.construct(interactions(spark, sf_dir))
-        reco = O.ItemKNNModel(weighting, K=20).fit(ds).recommend(ds.hot(Columns.User), ds, 10, True, on_unsupported_targets="ignore")
-        # Sums differ in their last digits between engines, so scores stand without the items that they might swap.
-        return reco.select(Columns.User, Columns.Rank, F.round(F.col(Columns.Score).cast("double"), 2).alias(Columns.Score))
+        model = O.ItemKNNModel(weighting, K=20)
+        model.fit(ds)
+        # Scores before they become floats; sums differ in their last digits between engines, so the items that they might
+        # swap are left out.
+        reco = with_rank(model._u2i(ds.hot(Columns.User), ds, 10, True, None), Columns.User, 10)
+        return reco.select(Columns.User, Columns.Rank, F.round(Columns.Score, 4).alias(Columns.Score))
 
     return run
 
 
 for _name in ("plain", "cosine", "tfidf", "bm25"):
     QUERIES[f"item_knn_{_name}"] = _knn(_name)
+    SQL[f"item_knn_{_name}"] = _knn_reco_sql(_name)
 
 
-@query(_knn_sql("tfidf") + " select t as target_item_id, r::int as rank, round(s, 6) as score from (select t, s, row_number() over (partition by t order by s desc, item_id) as r from k where t <> item_id) where r <= 5")
+@query(_knn_sql("tfidf") + " select t as target_item_id, r::int as rank, round(s, 4) as score from (select t, s, row_number() over (partition by t order by s desc, item_id) as r from k where t <> item_id) where r <= 5")
 def item_knn_i2i(spark: SparkSession, sf_dir: str) -> DataFrame:
     ds = Dataset.construct(interactions(spark, sf_dir))
     reco = O.ItemKNNModel("tfidf", K=20).fit(ds).recommend_to_items(ds.hot(Columns.Item), ds, 5, on_unsupported_targets="ignore")
-    return reco.select(Columns.TargetItem, Columns.Rank, F.round(F.col(Columns.Score).cast("double"), 6).alias(Columns.Score))
+    return reco.select(Columns.TargetItem, Columns.Rank, F.round(F.col(Columns.Score).cast("double"), 4).alias(Columns.Score))
 
 
 @query(_knn_sql("cosine") + " select t as target_item_id, r::int as rank, round(s, 6) as score from k")
@@ -451,6 +456,50 @@ QUERIES["bpr"] = _fitted(lambda: O.BPRModel(16, iterations=2, learning_rate=0.05
 QUERIES["lightfm"] = _fitted(lambda: O.LightFMModel(16, loss="warp", epochs=2, random_state=1))
 
 
+def _sequence(make: Callable[[], O.ModelBase]) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ds = Dataset.construct(coarse(spark, sf_dir))
+        now = get_context(ds.raw.withColumn(Columns.Datetime, F.col(Columns.Datetime) + F.expr("interval 10 years")))
+        return make().fit(ds).recommend(ds.hot(Columns.User), ds, 10, False, on_unsupported_targets="ignore", context=now)
+
+    return run
+
+
+_SMALL = {"n_factors": 16, "n_blocks": 1, "n_heads": 2, "session_max_len": 20, "epochs": 1, "most_users": 2000}
+QUERIES["sasrec"] = _sequence(lambda: O.SASRecModel(**_SMALL))
+QUERIES["bert4rec"] = _sequence(lambda: O.BERT4RecModel(**_SMALL))
+QUERIES["hstu"] = _sequence(lambda: O.HSTUModel(**_SMALL))
+QUERIES["ligr"] = _sequence(lambda: O.LiGRModel(**_SMALL, loss="gBCE", n_negatives=4))
+
+
+@query()
+def dssm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    users = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.lit("segment").alias("feature"), F.col("c_mktsegment").alias("value"))
+    ds = Dataset.construct(interactions(spark, sf_dir), users, ("segment",), item_features_df=item_features(spark, sf_dir).where("feature <> 'size'"), cat_item_features=("brand", "type"))
+    return O.DSSMModel(16, max_epochs=1, batch_size=512, most_users=1000).fit(ds).recommend(ds.hot(Columns.User), ds, 10, False, on_unsupported_targets="ignore")
+
+
+@query(
+    f"""with {INTER}, last as (select *, row_number() over (partition by user_id order by datetime desc, rid desc, item_id desc, weight desc) as r from inter)
+    select user_id, string_agg(item_id, ',' order by r desc) as items, count(*)::bigint as n from last where r <= 20 group by 1 having count(*) >= 2"""
+)
+def session_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sessions(interactions(spark, sf_dir), 20, 2)
+    return found.select(Columns.User, F.array_join(F.col("items").cast("array<string>"), ",").alias("items"), F.size("items").cast("long").alias("n"))
+
+
+@query(
+    f"""with {INTER}, last as (select *, row_number() over (partition by user_id order by datetime desc, rid desc, item_id desc, weight desc) as r from inter),
+    s as (select user_id, item_id, row_number() over (partition by user_id order by r desc) - 1 as i from last where r <= 20),
+    d as (select *, {MD5.format("concat_ws('|', 5, user_id, i)")} % 1000000 / 1000000.0 as u, {MD5.format("concat_ws('|', 5, 'item', user_id, i)")} % 100 + 2 as other from s)
+    select user_id, string_agg(case when u >= 0.15 then item_id when u < 0.12 then 1 when u < 0.135 then other else item_id end, ',' order by i) as x,
+    string_agg(case when u < 0.15 then item_id else 0 end, ',' order by i) as y from d group by 1"""
+)
+def masked_session_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = masked_sessions(sessions(interactions(spark, sf_dir), 20), 100, 0.15, 5)
+    return found.select(Columns.User, *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("x", "y")])
+
+
 # Rankers over vectors.
 
 
@@ -599,22 +648,22 @@ def intersection_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric_table({"same": M.Intersection(5, ref_k=10)}, reco, ref_reco={"ref": ref}).select("metric", F.round("value", 9).alias("value"))
 
 
-@query(f"with {FOLD} select t.user_id, t.item_id, r.rank from test t left join reco r on t.user_id = r.user_id and t.item_id = r.item_id")
+@query(f"with {FOLD} select t.user_id, t.item_id, coalesce(r.rank, 0)::int as rank from test t left join reco r on t.user_id = r.user_id and t.item_id = r.item_id")
 def merged_reco(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, test, reco = fold(spark, sf_dir)
-    return merge_reco(reco, test)
+    return merge_reco(reco, test).withColumn(Columns.Rank, F.coalesce(Columns.Rank, F.lit(0)))
 
 
 @query(
     f"""with {FOLD}, pos as (select distinct user_id, item_id from test), own as (select * from reco where rank % 2 = 0), a as (select coalesce(p.user_id, o.user_id) as user_id, coalesce(p.item_id, o.item_id) as item_id, o.rank,
       p.user_id is not null as positive from pos p full outer join own o on p.user_id = o.user_id and p.item_id = o.item_id),
     g as (select user_id, unnest(range(1, max(rank) + 1)) as rank from own group by 1)
-    select coalesce(a.user_id, g.user_id) as user_id, a.item_id, coalesce(a.rank, g.rank)::int as rank, coalesce(a.positive, false) as positive from a full outer join g on a.user_id = g.user_id and a.rank = g.rank"""
+    select coalesce(a.user_id, g.user_id) as user_id, coalesce(a.item_id, -1) as item_id, coalesce(a.rank, g.rank, 0)::int as rank, coalesce(a.positive, false) as positive from a full outer join g on a.user_id = g.user_id and a.rank = g.rank"""
 )
 def outer_merged_reco(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, test, reco = fold(spark, sf_dir)
     found = outer_merge_reco(reco.where(F.col(Columns.Rank) % 2 == 0), test)
-    return found.select(Columns.User, Columns.Item, F.col(Columns.Rank).cast("int").alias(Columns.Rank), F.col("__test_positive").alias("positive"))
+    return found.select(Columns.User, F.coalesce(Columns.Item, F.lit(-1)).alias(Columns.Item), F.coalesce(F.col(Columns.Rank).cast("int"), F.lit(0)).alias(Columns.Rank), F.col("__test_positive").alias("positive"))
 
 
 @query(

@@ -21,7 +21,7 @@ def run_once(spark: SparkSession, path: str, name: str, size: str = "1 day") ->
     schema = spark.read.parquet(path).schema
     folder, _, file = path.rpartition("/")
     raw = spark.readStream.schema(schema).option("pathGlobFilter", file).parquet(folder)
-    events = raw.select(F.col("event_type").alias(Columns.Item), F.col("value").alias(Columns.Weight), F.col("ts").alias(Columns.Datetime))
+    events = raw.select(F.col("event_type").alias(Columns.Item), F.col("value").alias(Columns.Weight), F.col("ts").cast("timestamp").alias(Columns.Datetime))
     query = windowed_popularity(events, size).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.table(name).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
