@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Least Dice coefficient of a match.
 THRESHOLD = 0.8
+#: Words below this length are no filter of their own.
+SHORT = 4
 #: Most bigrams that all templates together may have, as they are part of the plan.
 MOST_BIGRAMS = 20_000
 
@@ -62,21 +64,26 @@ def bounds(n: int, threshold: float) -> tuple[int, int]:
     return math.ceil(threshold * n / (2 - threshold) - 1e-9), math.floor((2 - threshold) * n / threshold + 1e-9)
 
 
-def needed_words(grams: list[str], threshold: float) -> set[str]:
-    """Words one of which any match must hold: each match shares at least `least` bigrams, so it cannot miss all of the
-    others plus one. Those with the longest words are taken, and of each the longest word."""
+def needed(grams: list[str], threshold: float) -> tuple[set[str], set[str]]:
+    """Words and bigrams one of which any match must hold: each match shares at least `least` bigrams, so it cannot miss all
+    of the others plus one. Those with the longest words are taken, and of each the longest word; a bigram of short words,
+    which any text holds, stays a bigram."""
     low = bounds(len(grams), threshold)[0]
     least = max(1, math.ceil(threshold * (len(grams) + low) / 2 - 1e-9))
-    ranked = sorted(grams, key=lambda g: (-max(map(len, g.split())), g))
-    return {max(g.split(), key=lambda w: (len(w), w)) for g in ranked[: len(grams) - least + 1]}
+    ranked = sorted(grams, key=lambda g: (-max(map(len, g.split())), g))[: len(grams) - least + 1]
+    longest = {g: max(g.split(), key=lambda w: (len(w), w)) for g in ranked}
+    return {w for w in longest.values() if len(w) >= SHORT}, {g for g, w in longest.items() if len(w) < SHORT}
 
 
-def prepared(templates: list[tuple[str, str]], threshold: float) -> tuple[list[tuple[str, list[str]]], list[str]]:
+def prepared(templates: list[tuple[str, str]], threshold: float) -> tuple[list[tuple[str, list[str]]], list[str], list[str]]:
+    """Bigrams by template, and the words and bigrams that let a document in; a word that holds another is not needed."""
     kept = sorted({(name, tuple(bigrams(text))) for name, text in templates})
     grams = [(name, list(g)) for name, g in kept if g]
     if sum(len(g) for _, g in grams) > MOST_BIGRAMS:
         raise ValueError("too many template bigrams for one plan; scan with parts of the templates")
-    return grams, sorted({w for _, g in grams for w in needed_words(g, threshold)})
+    wanted = [needed(g, threshold) for _, g in grams]
+    words = sorted({w for ws, _ in wanted for w in ws})
+    return grams, [w for w in words if not any(o != w and o in w for o in words)], sorted({g for _, gs in wanted for g in gs})
 
 
 def scan(documents: DataFrame, *, text: Column | None = None, id_col: str = "doc_id", templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -87,12 +94,14 @@ def scan(documents: DataFrame, *, text: Column | None = None, id_col: str = "doc
     repeats. A passage of fewer than two words has no bigram and never matches, nor does a null or empty text. Repeated rows
     give a row each; an empty table none. Only the id and the text are read.
     """
-    grams, words = prepared(TEMPLATES if templates is None else templates, threshold)
+    grams, words, phrases = prepared(TEMPLATES if templates is None else templates, threshold)
     text = F.translate(F.col("text") if text is None else text, _UPPER, _LOWER)
     rows = documents.select(F.col(id_col).alias("__id"), text.alias("t"))
     may = F.lit(False)
     for w in words:
         may = may | F.col("t").contains(w)
+    if phrases:
+        may = may | F.col("t").rlike("|".join(SEPARATORS.join(g.split()) for g in phrases))
     sentences = r"regexp_replace(t, '([.!?])[ \\t]+', '$1\n')"
     passages = rf"array_distinct(concat(array(t), split(t, '\n[ \\t\r]*\n'), split(t, '\n'), split({sentences}, '\n')))"
     rows = rows.select("__id", F.when(may, F.expr(passages)).otherwise(F.array().cast("array<string>")).alias("p"))
@@ -119,7 +128,7 @@ def scan(documents: DataFrame, *, text: Column | None = None, id_col: str = "doc
 
 def oracle_sql(threshold: float = THRESHOLD) -> str:
     """The same for `documents` in DuckDB, without the word filter."""
-    grams, _ = prepared(TEMPLATES, threshold)
+    grams, *_ = prepared(TEMPLATES, threshold)
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     known = ", ".join(f"({i}, {quote(n)}, [{', '.join(map(quote, g))}])" for i, (n, g) in enumerate(grams))
     return f"""
