@@ -28,6 +28,8 @@ CLASSES = 64
 EFFECTIVE = 200.0
 #: Pseudo-counts: of a trigram, of a declared language or suffix, and of the parent's share in a smoothed prior.
 TRIGRAM_PRIOR, TABLE_PRIOR, HOST_PRIOR = 0.02, 1.0, 8.0
+#: Bytes of text that are turned into trigrams at a time: arrays of some forty times as much live with them.
+PIECE = 1 << 20
 #: Prior share of unknown languages, and the posterior that an accepted document has at least.
 UNKNOWN_SHARE, ACCEPT = 0.02, 0.5
 
@@ -63,7 +65,7 @@ def _count(languages: tuple[str, ...]) -> Callable[[Iterator[pa.RecordBatch]], I
         classes, rank = once("letter classes", letter_classes), {n: i for i, n in enumerate(languages)}
         total = np.zeros(len(languages) * CLASSES**3, np.int64)
         for whole in batches:
-            for batch in pieces(whole):
+            for batch in pieces(whole, most=PIECE):
                 texts = [(t or "").replace("\x00", " ") for t in batch.column("text").to_pylist()]
                 row = np.array([rank[x] for x in batch.column("declared").to_pylist()], np.int64)
                 owner, code = trigrams(texts, classes)
@@ -90,7 +92,7 @@ def _likelihoods(table: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iter
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = once("letter classes", letter_classes)
         for whole in batches:
-            for batch in pieces(whole):
+            for batch in pieces(whole, most=PIECE):
                 texts = [(t or "").replace("\x00", " ") for t in batch.column("text").to_pylist()]
                 owner, code = trigrams(texts, classes)
                 n = np.bincount(owner, minlength=len(texts))
