@@ -31,7 +31,7 @@ class PairwiseHammingDistanceCalculator(PairwiseDistanceCalculator):
         differing = F.lit(0)
         for c in self.names:
             differing = differing + (F.col(f"f_a.{c}") != F.col(f"f_b.{c}")).cast("int")
-        return both.withColumn("distance", differing.cast("double")).drop("f_a", "f_b")
+        return both.withColumn("distance", differing.cast("double")).select(*pairs.columns, "distance")
 
 
 class SparsePairwiseHammingDistanceCalculator(PairwiseDistanceCalculator):
@@ -48,4 +48,4 @@ class SparsePairwiseHammingDistanceCalculator(PairwiseDistanceCalculator):
         # Columns of either side, less those in which the cells agree.
         columns = F.expr("size(array_union(transform(c_a, x -> x.col), transform(c_b, x -> x.col))) - size(array_intersect(c_a, c_b))")
         known = F.col("c_a").isNotNull() & F.col("c_b").isNotNull()
-        return both.withColumn("distance", F.when(known, columns.cast("double"))).drop("c_a", "c_b")
+        return both.withColumn("distance", F.when(known, columns.cast("double"))).select(*pairs.columns, "distance")

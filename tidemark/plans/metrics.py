@@ -158,10 +158,9 @@ def intersection_metrics(metrics: Metrics, ref_reco: DataFrame | Mapping[str, Da
 
 
 def intersection_table(metric: M.Intersection, reco: DataFrame, ref: DataFrame, name: str) -> DataFrame:
-    """Share of the reference's first ref_k items that the first k hold."""
-    cut = reco.where(F.col(Columns.Rank) <= metric.k)
-    relevant = ref.where(F.col(Columns.Rank) <= (metric.ref_k or metric.k)).select(*Columns.UserItem)
-    return hit_table({name: M.Recall(k=metric.k)}, cut, relevant, None)
+    """Share of a user's first k items that the first ref_k of the reference hold."""
+    own = reco.where(F.col(Columns.Rank) <= metric.k).select(*Columns.UserItem)
+    return hit_table({name: M.Recall(k=metric.ref_k or metric.k)}, ref, own, None)
 
 
 def _needs(value: object, what: str, metric: str) -> None:

@@ -639,7 +639,7 @@ def coverage_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""with {FOLD}, other as (select user_id, item_id, rank from (select u.user_id, r.item_id, row_number() over (partition by u.user_id order by s desc, r.item_id) as rank from (select distinct user_id from test) u,
       (select item_id, sum(weight) as s from train group by 1 order by s desc, item_id limit 20) r) where rank <= 10)
-    select 'same_ref' as metric, round(avg(tp / n), 9) as value from (select o.user_id, count(r.rank)::double as tp, count(*) as n from other o left join (select * from reco where rank <= 5) r on o.user_id = r.user_id and o.item_id = r.item_id group by 1)"""
+    select 'same_ref' as metric, round(avg(tp / n), 9) as value from (select r.user_id, count(o.rank)::double as tp, count(*) as n from reco r left join other o on o.user_id = r.user_id and o.item_id = r.item_id where r.rank <= 5 group by 1)"""
 )
 def intersection_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test, reco = fold(spark, sf_dir)
