@@ -73,7 +73,7 @@ def test_decontamination(spark, monkeypatch, block):  # noqa: ANN001
     docs, items = contaminated()
     df = spark.createDataFrame([(*d, "clash") for d in docs], "doc_id long, text string, n_hit string")
     bench = spark.createDataFrame([(*i, 0) for i in items], "item_id long, text string, doc_id int")
-    got = decontaminate.digest(decontaminate.matches(df, bench)).drop("n_near_items")
+    got = decontaminate.digest(decontaminate.matches(df, bench))
     assert sorted(map(tuple, got.collect()), key=str) == plain_hits(docs, items)
     kept = decontaminate.clean(df, bench)
     assert kept.columns == df.columns
@@ -95,6 +95,47 @@ def test_spans_and_proximity(spark):  # noqa: ANN001
     assert found["extra", 3] == list(range(5, 14)) and found["p0", 1] == [1]
 
 
+def plain_near(docs: list[tuple], items: list[tuple], slop: int, window: int = 10) -> list[tuple]:
+    out = []
+    for i, text in docs:
+        w = plain_words(text)
+        found = set()
+        for k, t in items:
+            v = plain_words(t)
+            if k is None or not v:
+                continue
+            n = min(window, len(v))
+            for a in range(len(v) - n + 1):
+                for s in range(-slop, len(w) + slop):
+                    if all(v[a + j] in w[max(0, s + j - slop) : max(0, s + j + slop + 1)] for j in range(n)):
+                        found.add(str(k))
+                        break
+        out.append((i, sorted(found)))
+    return sorted(out, key=str)
+
+
+def test_proximity_does_not_depend_on_shards(spark):  # noqa: ANN001
+    rnd = random.Random(11)
+    items = [(i, " ".join(rnd.choice(VOCABULARY[:40]) for _ in range(rnd.randint(4, 14)))) for i in range(8)]
+    docs = []
+    for i in range(120):
+        part = rnd.choice(items)[1].split()
+        for _ in range(rnd.randint(0, 3)):
+            at = rnd.randrange(len(part))
+            if rnd.random() < 0.5:
+                part.insert(at, rnd.choice(VOCABULARY))
+            else:
+                part[at : at + 2] = reversed(part[at : at + 2])
+        docs.append((i, " ".join([rnd.choice(VOCABULARY[:40]) for _ in range(i % 3)] + part + ["the"] * (i % 2))))
+    docs += [(200 + i, t) for i, t in enumerate(x for _, t in items for x in (" ".join(t.split()[:-2]), " ".join(t.split()[-2:]), " ".join(t.split()[1:])))]  # neighbours in a shard must not add up
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for parts in (1, 7):
+        df = spark.createDataFrame(docs, "doc_id long, text string").repartition(parts)
+        got = sorted(((r["doc_id"], r["near_items"]) for r in decontaminate.matches(df, bench, slop=2).collect()), key=str)
+        assert got == plain_near(docs, items, 2)
+    assert sum(bool(x) for _, x in got) > 10
+
+
 TEXTS = ["", "plain words here", "Ünï 日本語 🙂 ‹›", "  spaces\t\n\n tabs", "it's we'll 12345 ###", "<|endoftext|> inside", "a" * 3000, " 　x", "ſtraße ǅ ١٢٣"]
 
 

@@ -22,9 +22,11 @@ from .common import pieces, text_batches, words_of
 
 #: Words a window has.
 WINDOW = 10
+#: Words that a proximity match may be off its place.
+SLOP = 2
 #: Words of test items that one broadcast block holds at most (a longer item makes a block of its own).
 BLOCK_WORDS = 1_000_000
-#: Empty positions between documents of a shard; more than any window or slop reaches.
+#: What fills the positions between documents of a shard, more of them than a window and its slop reach over.
 GAP = -1
 
 
@@ -51,12 +53,12 @@ class Phrases:
 class ShardIndex:
     """Postings of one shard: for each test term, its positions in the shard's token stream, ascending."""
 
-    def __init__(self, texts: list[bytes | None], phrases: Phrases):
+    def __init__(self, texts: list[bytes | None], phrases: Phrases, slop: int = 0):
         get = phrases.ids.get
         parts = [words_of(t) for t in texts]
         self.sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         #: First position of each document; GAP fills the rest up to the next.
-        self.starts = np.concatenate([[0], np.cumsum(self.sizes + phrases.width)])
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes + phrases.width + 2 * slop)])
         stream = np.full(int(self.starts[-1]) + phrases.width, GAP, np.int64)
         for at, part in zip(self.starts, parts):
             stream[at : at + len(part)] = [get(w, GAP) for w in part]
@@ -70,11 +72,12 @@ class ShardIndex:
         return np.searchsorted(self.starts, position, side="right") - 1
 
 
-def starts_of(index: ShardIndex, phrases: Phrases, slop: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(phrase, start) of the phrases whose every term occurs at its offset, give or take `slop` words; start by the rarest term."""
+def starts_of(index: ShardIndex, phrases: Phrases, slop: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(phrase, start, position of its rarest term) of the phrases whose every term occurs at its offset from the start, give
+    or take `slop` words."""
     none = np.zeros(0, np.int64)
     if not len(phrases.terms) or not len(index.positions):
-        return none, none
+        return none, none, none
     real = phrases.terms >= 0
     count = np.where(real, index.counts[np.where(real, phrases.terms, 0)], np.iinfo(np.int64).max)
     order = np.argsort(count, axis=1, kind="stable")  # rarest term first
@@ -84,9 +87,13 @@ def starts_of(index: ShardIndex, phrases: Phrases, slop: int = 0) -> tuple[np.nd
     n = index.counts[term]
     which = np.repeat(np.arange(len(live)), n)
     posting = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(index.first[term], n)
-    start, phrase = index.positions[posting] - rare[which], live[which]
-    ok = start >= 0
-    start, phrase = start[ok], phrase[ok]
+    seen, phrase = index.positions[posting], live[which]
+    start = seen - rare[which]
+    if slop:  # the rarest term may itself lie off its place
+        start, phrase, seen = np.add.outer(np.arange(-slop, slop + 1), start).ravel(), np.tile(phrase, 2 * slop + 1), np.tile(seen, 2 * slop + 1)
+    else:
+        ok = start >= 0
+        start, phrase, seen = start[ok], phrase[ok], seen[ok]
     for k in range(1, phrases.width):
         at = order[phrase, k]
         wanted = phrases.terms[phrase, at]
@@ -95,10 +102,10 @@ def starts_of(index: ShardIndex, phrases: Phrases, slop: int = 0) -> tuple[np.nd
             where = start + at + d
             inside = (where >= 0) & (where < len(index.stream))
             ok |= inside & (index.stream[np.where(inside, where, 0)] == wanted)
-        start, phrase = start[ok], phrase[ok]
+        start, phrase, seen = start[ok], phrase[ok], seen[ok]
         if not len(start):
             break
-    return phrase, start
+    return phrase, start, seen
 
 
 def matcher(packed: bytes, slop: int, spans: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -107,9 +114,9 @@ def matcher(packed: bytes, slop: int, spans: bool) -> Callable[[Iterator[pa.Reco
         names = [str(k) for k in phrases.items]
         for whole in batches:
             for batch in pieces(whole):
-                index = ShardIndex(batch.column("text").to_pylist(), phrases)
-                phrase, start = starts_of(index, phrases)
-                near, near_at = starts_of(index, phrases, slop) if slop else (phrase, start)
+                index = ShardIndex(batch.column("text").to_pylist(), phrases, slop)
+                phrase, start, place = starts_of(index, phrases)
+                near, _, near_place = starts_of(index, phrases, slop) if slop else (phrase, start, place)
                 n = batch.num_rows
                 edge = np.zeros(len(index.stream) + 1, np.int64)
                 np.add.at(edge, start, 1)
@@ -117,7 +124,7 @@ def matcher(packed: bytes, slop: int, spans: bool) -> Callable[[Iterator[pa.Reco
                 hit = np.cumsum(edge)[:-1] > 0
                 by_doc: list[set[int]] = [set() for _ in range(n)]
                 by_near: list[set[int]] = [set() for _ in range(n)]
-                for found, p, s in ((by_doc, phrase, start), (by_near, near, near_at)):
+                for found, p, s in ((by_doc, phrase, place), (by_near, near, near_place)):
                     for d, w in set(zip(index.document(s).tolist() if len(s) else [], p.tolist())):
                         found[d].update(phrases.owners[w])
                 total = np.concatenate([[0], np.cumsum(hit)])
@@ -156,10 +163,11 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> Ite
 
 def matches(
     documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-    item_text_col: str = "text", window: int = WINDOW, slop: int = 2,
+    item_text_col: str = "text", window: int = WINDOW, slop: int = SLOP,
 ) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, items (ids with an exactly occurring window, as sorted strings),
-    near_items (ids with a window whose every term lies within `slop` words of its place) and spans (hit words, [start, end)).
+    near_items (ids with a window that has a place where its every term lies within `slop` words of its offset; the exact
+    ones if slop is 0) and spans (hit words, [start, end)).
 
     Words are lower-cased (A-Z) runs of digits, ASCII letters and non-ASCII characters. An item of fewer than `window`
     words is one window. Null or empty texts have no words and never match; items with a null id or without words are
@@ -214,11 +222,11 @@ def postings(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """The digest columns of the query: n_items, items_sha256 and contaminated in place of the lists."""
+    """The digest columns of the exact matches: n_items, items_sha256 and contaminated in place of the lists."""
     ids = F.array_sort("items")
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", ids), 256).alias("items_sha256"),
-        (F.col("n_hit") > 0).alias("contaminated"), F.size("near_items").cast("long").alias("n_near_items"),
+        (F.col("n_hit") > 0).alias("contaminated"),
     )
 
 

@@ -42,7 +42,14 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.digest(decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+    """Exact phrases; the proximity matches of the same operator are a query of their own."""
+    return decontaminate.digest(decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=0))
+
+
+def op5_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items with a window near which a document's words lie: doc_id, n_near_items, near_items (comma-joined)."""
+    found = decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.size("near_items").cast("long").alias("n_near_items"), F.array_join("near_items", ",").alias("near_items"))
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +83,7 @@ def op10_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     found = (
-        op1_topk, op2_license_scan, op3_line_dedup, op4_quality, op5_decontaminate, op6_sharding, op7_language, op7_language_pages, op8_warc, op9_packing, op10_near_join,
+        op1_topk, op2_license_scan, op3_line_dedup, op4_quality, op5_decontaminate, op5_proximity, op6_sharding, op7_language, op7_language_pages, op8_warc, op9_packing, op10_near_join,
     )
     return {f.__name__: f for f in found}
 
@@ -92,8 +99,7 @@ select query_id, cast(rank as integer) as rank, vec_id, score
 from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scores) where rank <= {topk.K}
 """
 
-#: Windows of test items, and documents' runs of as many words. An item and a document of the same words meet by md5.
-#: n_near_items has no SQL here, so this serves the exact columns' test only.
+#: Windows of test items, and documents' runs of as many words; equal ones meet by their MD5.
 DECONTAMINATE_SQL = f"""
 with d as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents),
 b as (select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from benchmark where text is not null and item_id is not null),
@@ -109,4 +115,4 @@ from d left join hits using (r) left join items using (r)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk": TOPK_SQL, "op2_license_scan": license_scan.oracle_sql(), "op3_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op1_topk": TOPK_SQL, "op2_license_scan": license_scan.oracle_sql(), "op3_line_dedup": line_dedup.ORACLE_SQL, "op5_decontaminate": DECONTAMINATE_SQL}
