@@ -38,11 +38,11 @@ class VectorRanker:
         self.distance = Distance(distance)
         self.subjects, self.objects = subjects, objects
 
-    def rank(self, k: int, filter_pairs: DataFrame | None = None, whitelist: DataFrame | None = None, exclude_self: bool = False) -> DataFrame:
+    def rank(self, k: int, filter_pairs: DataFrame | None = None, whitelist: DataFrame | None = None, exclude_self: bool = False, as_float: bool = True) -> DataFrame:
         """subject, object, score, rank. Best first: high scores, but small Euclidean distances; ties to the smaller object.
 
         Subjects and objects are dealt into blocks, every pair of blocks is one task's cell, and a cell returns at most k rows
-        a subject. filter_pairs (subject, object) never come back; whitelist limits the objects before scoring.
+        a subject. Scores are floats, or, on request, the doubles they are computed in. filter_pairs (subject, object) never come back; whitelist limits the objects before scoring.
         """
         if k <= 0:
             raise ValueError("`k` must be positive")
@@ -109,7 +109,7 @@ class VectorRanker:
         hits = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(cell, schema)
         best = F.col("score").asc() if self.distance is Distance.EUCLIDEAN else F.col("score").desc()
         ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("s").orderBy(best, "o")))
-        return ranked.where(F.col("rank") <= k).select(F.col("s").alias("subject"), F.col("o").alias("object"), F.col("score").cast("float").alias("score"), F.col("rank").cast("int").alias("rank"))
+        return ranked.where(F.col("rank") <= k).select(F.col("s").alias("subject"), F.col("o").alias("object"), F.col("score").cast("float" if as_float else "double").alias("score"), F.col("rank").cast("int").alias("rank"))
 
 
 def _arrow(kind: T.DataType) -> pa.DataType:

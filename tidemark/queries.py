@@ -508,14 +508,14 @@ def _rank_sql(distance: str) -> str:
     best = "asc" if distance == "euclidean" else "desc"
     return f"""with e as (select vec_id, unnest(range(len(embedding))) as i, unnest(embedding)::double as x, sqrt(list_sum(list_transform(embedding, lambda y: y::double * y::double))) as n from embeddings),
     s as (select a.vec_id as subject, b.vec_id as object, {score} as score from e a join e b using (i) where a.vec_id <> b.vec_id group by 1, 2)
-    select subject, rank, round(score, 3) as score from (select *, row_number() over (partition by subject order by score {best}, object)::int as rank from s) where rank <= 10"""
+    select subject, rank, round(score, 6) as score from (select *, row_number() over (partition by subject order by score {best}, object)::int as rank from s) where rank <= 10"""
 
 
 def _ranker(distance: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("factors"))
-        reco = VectorRanker(distance, vectors, vectors).rank(10, exclude_self=True)
-        return reco.select("subject", "rank", F.round(F.col("score").cast("double"), 3).alias("score"))
+        reco = VectorRanker(distance, vectors, vectors).rank(10, exclude_self=True, as_float=False)
+        return reco.select("subject", "rank", F.round("score", 6).alias("score"))
 
     return run
 
