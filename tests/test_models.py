@@ -12,9 +12,11 @@ from tidemark.functions import autograd as ag
 from tidemark.functions.autograd import Tensor
 from tidemark.operators import metrics as M
 from tidemark.operators import models as O
+from tidemark.operators.ann import ItemToItemAnnRecommender, UserToItemAnnRecommender
 from tidemark.operators.models.factors import gram_of
 from tidemark.operators.models.sequential import left_padded, loss_of, sessions, time_buckets
 from tidemark.operators.rank import VectorRanker, recommend_from_scores
+from tidemark.operators.sampling import triplets
 from tidemark.operators.splits import LastNSplitter
 from tidemark.plans.cross_validate import cross_validate
 from tidemark.plans.report import MetricsReport, ReportStorage
@@ -272,6 +274,25 @@ def test_ranker(spark, distance, objects, scores):  # noqa: ANN001
         VectorRanker(distance, left, right).rank(0)
 
 
+def test_neighbour_lists(spark):  # noqa: ANN001
+    kind = "id string, factors array<double>"
+    items = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.9, 0.1]), ("c", [0.0, 1.0]), ("d", [0.1, 1.0]), ("e", [-1.0, 0.0])], kind)
+    users = spark.createDataFrame([("u", [1.0, 0.05])], kind)
+    i2i, u2i = ItemToItemAnnRecommender(items, index_top_k=4).fit(), UserToItemAnnRecommender(users, items, index_top_k=3).fit()
+    assert i2i.get_item_list_for_item("a", 2) == ["b", "d"] and u2i.get_item_list_for_user("u", 2) == ["b", "a"] or u2i.get_item_list_for_user("u", 2) == ["a", "b"]
+    assert i2i.get_item_list_for_item("a", 2, ["a", "c", "d"]) == ["d", "c"] and u2i.get_item_list_for_user("u", 2, ["c", "d"]) == ["d", "c"]
+    allowed = spark.createDataFrame([(t, i) for t in "ab" for i in "abcd"], "target string, item_id string")
+    got = {(r["target"], r["rank"]): r["item_id"] for r in i2i.get_item_list_for_item_batch(["a", "b"], 2, allowed).collect()}
+    assert got == {("a", 1): "d", ("a", 2): "c", ("b", 1): "d", ("b", 2): "c"}  # the batch's own items are left out
+
+
+def test_triplets(spark, shared):  # noqa: ANN001
+    got = triplets(shared, 1).collect()
+    assert len(got) == 4 and all((r["user_id"], r["positive"]) in SHARED and r["negative"] in {i for _, i in SHARED} for r in got)
+    with pytest.raises(ValueError):
+        triplets(Dataset.construct(shared.raw.withColumn("weight", F.lit(0.0))))
+
+
 def test_recommend_from_scores(spark):  # noqa: ANN001
     scores = spark.createDataFrame([(0, 4.0), (1, 1.0), (2, 3.0), (3, 4.0)], "item_id long, score double")
     items = lambda **kw: [r["item_id"] for r in recommend_from_scores(scores, 2, **kw).collect()]

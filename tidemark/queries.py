@@ -15,9 +15,11 @@ from tidemark.functions import scalar
 from tidemark.functions.runtime import dense_index
 from tidemark.operators import metrics as M
 from tidemark.operators import models as O
+from tidemark.operators.ann import ItemToItemAnnRecommender
 from tidemark.operators.metrics.base import debias_interactions, merge_reco, outer_merge_reco
 from tidemark.operators.models.sequential import masked_sessions, sessions
 from tidemark.operators.rank import VectorRanker, recommend_from_scores, with_rank
+from tidemark.operators.sampling import triplets
 from tidemark.operators.splits import LastNSplitter, RandomSplitter, TimeRangeSplitter, get_not_seen, leave_one_out
 from tidemark.plans.cross_validate import cross_validate_table
 from tidemark.plans.metrics import calc_per_user, metric_table
@@ -525,6 +527,31 @@ for _name in ("dot", "cosine", "euclidean"):
     SQL[f"rank_{_name}"] = _rank_sql(_name)
 
 
+@query(
+    _rank_sql("cosine").split("select subject, rank, round")[0].replace(" where a.vec_id <> b.vec_id", "").rstrip()
+    + """, near as (select subject, object, row_number() over (partition by subject order by round(score, 12) desc, object) as r from s)
+    select subject as target, row_number() over (partition by subject order by r)::int as rank, object as item_id from near where r <= 16 and object % 2 = 1 and subject % 2 = 0 qualify rank <= 5"""
+)
+def ann_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours of the even vectors among the odd ones, out of the nearest sixteen."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("factors"))
+    even, odd = vectors.where("id % 2 = 0").select("id"), vectors.where("id % 2 = 1").select(F.col("id").alias("item_id"))
+    # All odd vectors are available to every even one: lists of the nearest are cut by parity, without a table of pairs.
+    nearest = ItemToItemAnnRecommender(vectors, index_top_k=11)
+    found = nearest._nearest(vectors.join(even, "id", "left_semi"), 5)
+    return nearest._truncate(found.join(odd, "item_id", "left_semi"), 5).select("target", "rank", "item_id")
+
+
+@query(
+    f"""with {INTER}, m as (select user_id, item_id, sum(weight) as w from inter group by 1, 2), d as (select *, -ln(({MD5.format("concat_ws('|', 3, user_id, item_id)")} + 1) / 1152921504606846976.0::double) / w as key from m),
+    p as (select user_id, item_id as positive, row_number() over (partition by user_id order by key, item_id) as r from d),
+    c as (select item_id, row_number() over (order by min(rid), item_id) - 1 as i from inter group by 1)
+    select user_id, positive, c.item_id as negative from p join c on c.i = {MD5.format("concat_ws('|', 3, 'negative', user_id)")} % (select count(*) from c) where r = 1"""
+)
+def dssm_triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triplets(Dataset.construct(interactions(spark, sf_dir)), 3)
+
+
 @query(f"with {INTER} select item_id, round(sum(weight), 3) as score from inter where item_id % 3 <> 0 group by item_id order by sum(weight) desc, item_id limit 20")
 def recommend_from_scores_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = interactions(spark, sf_dir).groupBy(Columns.Item).agg(F.sum(Columns.Weight).alias(Columns.Score))
