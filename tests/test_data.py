@@ -7,8 +7,9 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import scalar
+from tidemark.functions import runtime, scalar
 from tidemark.functions.runtime import dense_index
+from tidemark.operators import splits
 from tidemark.operators.splits import LastNSplitter, RandomSplitter, TimeRangeSplitter, leave_one_out
 from tidemark.schema import AbsentIdError, Columns, UnknownIdError
 from tidemark.sources.dataset import Dataset
@@ -199,6 +200,15 @@ def test_random_split(timed):  # noqa: ANN001
         next(iter(RandomSplitter(0.01).split(timed)))
 
 
+def test_random_split_by_ranges(spark, monkeypatch):  # noqa: ANN001
+    plain = {"filter_cold_users": False, "filter_cold_items": False, "filter_already_seen": False}
+    df = spark.range(5000).select((F.col("id") % 70).alias("user_id"), (F.col("id") % 90).alias("item_id"), F.lit(1.0).alias("weight"), F.lit("2021-01-01").alias("datetime"), F.col("id").alias("_row_id"))
+    short = [kept(f.test) for f in RandomSplitter(0.2, 2, 3, **plain).split(df)]
+    monkeypatch.setattr(splits, "SHORT", 0)
+    monkeypatch.setattr(runtime, "RANGE_BITS", 8)
+    assert [kept(f.test) for f in RandomSplitter(0.2, 2, 3, **plain).split(df)] == short
+
+
 def test_leave_one_out(timed):  # noqa: ANN001
     assert kept(leave_one_out(timed)) == [3, 7, 9, 10]
     assert kept(leave_one_out(timed, [1, 3])) == [7, 10] and leave_one_out(timed, 2).count() == 2

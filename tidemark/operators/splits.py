@@ -19,6 +19,10 @@ from tidemark.sources.dataset import Dataset
 from tidemark.sources.interactions import typed, with_row_order
 
 
+#: Rows up to which a random order is found in one task.
+SHORT = 1 << 22
+
+
 @dataclass
 class Fold:
     train: DataFrame
@@ -129,11 +133,13 @@ class RandomSplitter(Splitter):
         size = round(self.test_fold_frac * n)
         if size == 0:
             raise ValueError("The test folds would be empty")
-        key = md5_long(F.lit(self.random_state or 0), Columns.Row, *Columns.UserItem)
-        # The hash is cut to ranges by its high bits, so the order is found in parallel.
-        drawn = dense_index(df.withColumn("__key", F.shiftright(key, 12)), "__key", [Columns.Row, *Columns.UserItem, Columns.Weight], "__place") if n > 1 << 22 else (
-            df.withColumn("__place", F.row_number().over(Window.orderBy(key, Columns.Row, *Columns.UserItem, Columns.Weight)) - 1)
-        )
+        drawn = df.withColumn("__key", md5_long(F.lit(self.random_state or 0), Columns.Row, *Columns.UserItem))
+        ties = ["__key", Columns.Row, *Columns.UserItem, Columns.Weight]
+        if n > SHORT:
+            # The hash, scaled to the number of rows, cuts them into even ranges that are ordered in parallel.
+            drawn = dense_index(drawn.withColumn("__range", (F.col("__key") / float(1 << 60) * n).cast("long")), "__range", ties, "__place")
+        else:
+            drawn = drawn.withColumn("__place", F.row_number().over(Window.orderBy(*ties)) - 1)
         for i in range(self.n_splits):
             test = (F.col("__place") >= i * size) & (F.col("__place") < (i + 1) * size)
             yield drawn.where(~test), drawn.where(test), {}
