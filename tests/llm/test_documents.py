@@ -291,7 +291,7 @@ def test_without_broadcast(spark, monkeypatch):  # noqa: ANN001
 
     docs = near_docs()
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    monkeypatch.setattr(near_join, "small", lambda t, *_: t)
+    monkeypatch.setattr(near_join, "small", lambda t, *_, **__: t)
     monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
     assert sorted(((r["doc_id"], r["n_links"], r["class_id"]) for r in near_join.near_join(df).collect()), key=str) == plain_links(docs)
 
@@ -352,3 +352,16 @@ def test_pipeline(spark, tmp_path):  # noqa: ANN001
     empty = df.limit(0)
     for _, f in corpus_pipeline.STAGES:
         assert f(spark, empty, folder).collect() == []
+
+
+def test_tidy(spark):  # noqa: ANN001
+    from tidemark.llm import common
+
+    path = common._written
+    table = common.cut(spark.range(3).select("id"))
+    folder = path[-1]
+    assert table.count() == 3
+    common.tidy(spark)
+    assert not path
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        spark.read.parquet(folder).count()

@@ -55,14 +55,28 @@ def shared_dir(spark: SparkSession) -> str:
     return there.rstrip("/")
 
 
+#: Tables that cut() has written in this process.
+_written: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Writes a table to the shared folder and reads it again: the lineage ends there, and lost executors cost no recomputation."""
+    """Writes a table to the shared folder and reads it again: the lineage ends there, and lost executors cost no
+    recomputation. Results stand on these tables; tidy() deletes them when no result is needed any more."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Deletes the tables that cut() has written, through Hadoop's file systems."""
+    jvm = spark.sparkContext._jvm
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())  # type: ignore[union-attr]
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most `limit` (fixed-width) rows; else as it is, for a shuffled join."""
     rows = df.limit(limit + 1).count() if rows is None else rows

@@ -163,24 +163,17 @@ def identify(
     hosts = fine.select("host", "domain", "suffix", _array(k).alias("ch"))
     priors = hosts.join(by_domain, ["suffix", "domain"]).join(by_suffix, "suffix").withColumn("pd", smooth("cd", "ps")).withColumn("prior", smooth("ch", "pd")).select("host", "prior")
     priors = cut(priors)
-    # P(declared | language) and P(suffix | language): bounded by the distinct codes; codes rarer than any language count as other.
-    def evidence(column: str) -> dict[str, list[float]]:
-        top = soft.where(F.col(column) != "").groupBy(column).agg(*_sums(k), F.count("*").alias("n")).orderBy(F.col("n").desc(), column).limit(1000).collect()
-        counts = np.array([[r[f"s{i}"] for i in range(k)] for r in top]).reshape(len(top), k) + TABLE_PRIOR
-        table = np.log(counts / (counts.sum(axis=0, keepdims=True) + TABLE_PRIOR))
-        return {r[column]: table[i].tolist() for i, r in enumerate(top)}
-
-    def lookup(column: str) -> Column:
-        got = evidence(column)
-        zero = F.array(*[F.lit(0.0)] * k)
-        if not got:
-            return zero
-        pairs = [x for name, v in got.items() for x in (F.lit(name), F.array(*map(F.lit, v)))]
-        return F.coalesce(F.try_element_at(F.create_map(*pairs), F.col(column)), zero)
+    # ln P(code | language) of declared languages and of suffixes, one row a code; a code that no text backs is no evidence.
+    def with_evidence(df: DataFrame, column: str, name: str) -> DataFrame:
+        codes = cut(soft.where(F.col(column) != "").groupBy(column).agg(*_sums(k)))
+        row = codes.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(f"s{i}"), F.lit(0.0)).alias(f"s{i}") for i in range(k)]).first()
+        logs = [F.log((F.col(f"s{i}") + TABLE_PRIOR) / (row[f"s{i}"] + TABLE_PRIOR * (row["n"] + 1))) for i in range(k)]
+        side = small(codes.select(column, F.array(*logs).alias(name)), row["n"], BROADCAST_ROWS // 8)
+        return df.join(side, column, "left").withColumn(name, F.coalesce(name, F.array(*[F.lit(0.0)] * k)))
 
     n_hosts = priors.count()
     joined = seen.join(F.broadcast(priors) if n_hosts <= BROADCAST_ROWS // 8 else priors, "host", "left")
-    fused = joined.withColumns({"prior": F.coalesce("prior", whole), "dl": lookup("declared"), "sl": lookup("suffix")})
+    fused = with_evidence(with_evidence(joined.withColumn("prior", F.coalesce("prior", whole)), "declared", "dl"), "suffix", "sl")
     fused = fused.withColumn("logs", F.expr("transform(text_ll, (x, i) -> x + ln(prior[i]) + dl[i] + sl[i])")).withColumn("post", F.expr(_posterior("logs")))
     at = F.array_position("post", F.array_max("post")).cast("int")
     best = F.element_at(F.array(*map(F.lit, names)), at)

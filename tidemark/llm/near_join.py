@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, pieces, small, text_batches, words_of
+from .common import BROADCAST_ROWS, cut, pieces, small, text_batches, words_of
 from .graph import components
 
 #: Words of a shingle and least Jaccard similarity of a link.
@@ -265,7 +265,7 @@ def near_join(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     members = cut(members.join(sizes, "root").withColumn("chunk", F.pmod(F.xxhash64("digest"), "chunks")))
     n_members = members.count()
     columns = ["node", "copies", "root", "chunk", "chunks"]
-    named = docs.join(small(members.where("rep is not null").withColumnRenamed("rep", "doc_id"), n_members), "doc_id").select("text", "digest", *columns)
+    named = docs.join(small(members.where("rep is not null").withColumnRenamed("rep", "doc_id"), n_members, BROADCAST_ROWS // 4), "doc_id").select("text", "digest", *columns)
     kinds = T.StructType([*(T.StructField(c, T.LongType()) for c in columns), *(T.StructField(c, T.BinaryType()) for c in ("digest", "items", "signature"))])
     sets = named.mapInArrow(_sets(shingle), kinds)
     if not members.where("rep is null").isEmpty():

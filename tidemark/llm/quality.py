@@ -20,8 +20,9 @@ from pyspark.sql import types as T
 
 from .common import pieces, text_batches
 
-#: Labelled documents the model is fitted on at most (the first by a hash of their id), and lines of a training chain.
-TRAIN_DOCUMENTS, CHAIN = 6_000, 64
+#: Labelled documents the model is fitted on at most (the first by a hash of their id), lines of a training chain, and most
+#: chains of a training document (spread evenly over it).
+TRAIN_DOCUMENTS, CHAIN, CHAINS = 6_000, 64, 32
 #: Bins of a feature, rounds and rate of the fit, weight of the squared penalty.
 BINS, ROUNDS, RATE, PENALTY = 8, 150, 0.08, 1e-3
 
@@ -142,7 +143,7 @@ def fit_chains(x: np.ndarray, sizes: np.ndarray, labels: np.ndarray, prior: floa
     y = np.repeat(labels, sizes).astype(np.float64)
     inner = np.flatnonzero(~first)  # lines with a previous one
     chains = len(sizes)
-    weight = np.repeat(1 / sizes, sizes)  # a long document weighs as much as a short one
+    weight = np.repeat(1 / sizes, sizes)  # a long chain weighs as much as a short one
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (model.weights, model.outer, model.move)]
     for step in range(1, ROUNDS + 1):
         u = model.evidence(bins, sizes)
@@ -181,7 +182,10 @@ def fit(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
                 found, ys = [], []
                 for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist()):
                     lines = lines_of(text)
-                    for at in range(0, len(lines), CHAIN):
+                    starts = range(0, len(lines), CHAIN)
+                    if len(starts) > CHAINS:
+                        starts = [starts[k * len(starts) // CHAINS] for k in range(CHAINS)]
+                    for at in starts:
                         found.append(features(lines[at : at + CHAIN]).tobytes())
                         ys.append(y)
                 yield pa.RecordBatch.from_pydict({"x": pa.array(found, pa.binary()), "y": pa.array(ys, pa.int32())})
