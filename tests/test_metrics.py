@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import metrics as M
-from tidemark.operators.metrics.base import debias_border, outer_merge_reco
-from tidemark.plans.metrics import calc_metrics, calc_per_user, metric_table
+from tidemark.operators.metrics.base import debias_border, make_confusions, outer_merge_reco
+from tidemark.plans.metrics import calc_merged_metrics, calc_metrics, calc_per_user, metric_table
 from tidemark.sources.features import SparseFeatures
 from tidemark.sources.idmap import IdMap
 
@@ -157,6 +157,24 @@ def test_distances(spark):  # noqa: ANN001
     assert sorted(map(tuple, sparse.distances(more).collect())) == [("i1", "i2", 3.0), ("i1", "i3", 1.0), ("i1", "i9", None), ("i2", "i2", 0.0)]
 
 
+def test_single_metrics(batch):  # noqa: ANN001
+    reco, test, prev, catalog, refs = (batch[k] for k in ("reco", "interactions", "prev_interactions", "catalog", "ref_reco"))
+    assert M.Precision(2).calc(reco, test) == 0.375 and math.isclose(M.Accuracy(1).calc(reco, test, catalog), 0.825) and M.AvgRecPopularity(2).calc(reco, prev) == 2.75
+    assert M.Serendipity(3).calc(reco, test, prev, catalog) == 0 and M.CatalogCoverage(2, normalize=True).calc(reco, catalog) == 0.2 and M.SufficientReco(2).calc(reco) == 0.25
+    assert M.Intersection(2, 2).calc(reco, refs["one"]) == 0.375
+    assert per_user(M.Recall(2).calc_per_user(reco, test), "value") == [1.0, 0.0, 0.0, 1.0]
+
+
+def test_merged_metrics(batch):  # noqa: ANN001
+    merged = M.merge_reco(batch["reco"], batch["interactions"])
+    got = calc_merged_metrics({"p": M.Precision(2), "m": M.MAP(1), "a": M.Accuracy(1)}, merged, batch["catalog"])
+    assert got["p"] == 0.375 and got["m"] == 0.125 and math.isclose(got["a"], 0.825)
+    with pytest.raises(ValueError, match="catalog"):
+        calc_merged_metrics({"a": M.MCC(1)}, merged)
+    rows = {r["user_id"]: (r["liked"], r["tp"], r["fp"], r["fn"]) for r in make_confusions(batch["reco"], batch["interactions"], 2).collect()}
+    assert rows == {1: (2, 2, 0, 0), 2: (1, 0, 2, 1), 4: (1, 0, 2, 1), 5: (1, 1, 1, 0)}
+
+
 def test_empty_tables(spark):  # noqa: ANN001
     reco, pair = spark.createDataFrame([], RECO), spark.createDataFrame([], PAIR)
     got = calc_metrics({n: m for n, (m, _) in EXPECTED.items()}, reco, pair, pair, [1, 2])

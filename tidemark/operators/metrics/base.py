@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import ClassVar
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,10 +26,28 @@ class MetricAtK:
 
     k: int
 
+    #: What calc() takes after the recommendations, in order.
+    inputs: ClassVar[tuple[str, ...]] = ("interactions",)
+
     def __post_init__(self) -> None:
         if not isinstance(self.k, int) or self.k <= 0:
             raise ValueError("`k` must be a positive integer")
 
+    def _named(self, args: tuple, kwargs: dict) -> dict:
+        return dict(zip(self.inputs, args, strict=False)) | kwargs
+
+    def calc(self, reco: DataFrame, *args: object, **kwargs: object) -> float:
+        """The metric's value: the mean over users, where it has values by user."""
+        from tidemark.plans.metrics import calc_metrics
+
+        return next(iter(calc_metrics({"value": self}, reco, **self._named(args, kwargs)).values()))
+
+    def calc_per_user(self, reco: DataFrame, *args: object, **kwargs: object) -> DataFrame:
+        """user_id, value."""
+        from tidemark.plans.metrics import calc_per_user
+
+        return calc_per_user({"value": self}, reco, **self._named(args, kwargs))
+
 
 def check_reco(reco: DataFrame) -> None:
     require(reco.columns, [*Columns.UserItem, Columns.Rank])
@@ -73,8 +92,12 @@ def debias_interactions(interactions: DataFrame, config: DebiasConfig) -> DataFr
 
 def hit_lists(reco: DataFrame, interactions: DataFrame, k_max: int) -> DataFrame:
     """One row a test user: hits (ascending ranks up to k_max of test rows, repeated ones too), n_relevant (test rows)."""
-    merged = merge_reco(reco.where(F.col(Columns.Rank) <= k_max), interactions)
-    return merged.groupBy(Columns.User).agg(
+    return hit_lists_of(merge_reco(reco.where(F.col(Columns.Rank) <= k_max), interactions), k_max)
+
+
+def hit_lists_of(merged: DataFrame, k_max: int) -> DataFrame:
+    """The same from merged rows; ranks beyond k_max are left out of the lists."""
+    return merged.withColumn(Columns.Rank, F.when(F.col(Columns.Rank) <= k_max, F.col(Columns.Rank))).groupBy(Columns.User).agg(
         F.sort_array(F.collect_list(F.round(Columns.Rank).cast("int"))).alias("hits"), F.count("*").alias("n_relevant")
     )
 
@@ -97,3 +120,13 @@ def auc_lists(reco: DataFrame, interactions: DataFrame) -> DataFrame:
 
 def count_to(array: str, k: int) -> Column:
     return F.expr(f"size(filter({array}, x -> x <= {k}))")
+
+
+def calc_confusions(merged: DataFrame, k: int) -> DataFrame:
+    """user_id, liked, tp, fp, fn of merged rows. False positives count up to k, however few items were recommended."""
+    lists = hit_lists_of(merged, k).select(Columns.User, F.col("n_relevant").alias("liked"), F.size("hits").alias("tp"))
+    return lists.withColumns({"fp": F.lit(k) - F.col("tp"), "fn": F.col("liked") - F.col("tp")})
+
+
+def make_confusions(reco: DataFrame, interactions: DataFrame, k: int) -> DataFrame:
+    return calc_confusions(merge_reco(reco, interactions), k)

@@ -69,6 +69,7 @@ class HitRate(HitMetric):
 
 @dataclass(frozen=True)
 class Accuracy(HitMetric):
+    inputs = ("interactions", "catalog")
     needs_catalog = True
 
     def value(self, n_catalog: int | None) -> Column:
@@ -78,6 +79,7 @@ class Accuracy(HitMetric):
 
 @dataclass(frozen=True)
 class MCC(HitMetric):
+    inputs = ("interactions", "catalog")
     needs_catalog = True
 
     def value(self, n_catalog: int | None) -> Column:
@@ -159,41 +161,47 @@ class PAP(AUCMetric):
 
 @dataclass(frozen=True)
 class MeanInvUserFreq(MetricAtK):
-    pass
+    inputs = ("prev_interactions",)
 
 
 @dataclass(frozen=True)
 class AvgRecPopularity(MetricAtK):
+    inputs = ("prev_interactions",)
     normalize: bool = False
 
 
 @dataclass(frozen=True)
 class Serendipity(MetricAtK):
-    pass
+    inputs = ("interactions", "prev_interactions", "catalog")
 
 
 @dataclass(frozen=True)
 class IntraListDiversity(MetricAtK):
+    inputs = ()
     distance_calculator: PairwiseDistanceCalculator | None = None
 
 
 @dataclass(frozen=True)
 class CatalogCoverage(MetricAtK):
+    inputs = ("catalog",)
     normalize: bool = False
 
 
 @dataclass(frozen=True)
 class Intersection(MetricAtK):
+    inputs = ("ref_reco",)
     ref_k: int | None = None
 
 
 @dataclass(frozen=True)
 class SufficientReco(MetricAtK):
+    inputs = ()
     deep: bool = False
 
 
 @dataclass(frozen=True)
 class UnrepeatedReco(MetricAtK):
+    inputs = ()
     deep: bool = False
 
 

@@ -19,16 +19,17 @@ from tidemark.sources.interactions import get_context
 
 def cross_validate_table(
     dataset: Dataset, splitter: Splitter, metrics: dict[str, MetricAtK], models: dict[str, ModelBase], k: int, filter_viewed: bool, items_to_recommend: DataFrame | Iterable | None = None,
-    ref_models: Iterable[str] | None = None, validate_ref_models: bool = False, on_unsupported_targets: str = "warn",
+    ref_models: Iterable[str] | None = None, validate_ref_models: bool = False, on_unsupported_targets: str = "warn", prefer_warm_inference_over_cold: bool = True,
 ) -> DataFrame:
     """model, i_split, metric, value, lazily. Fold tables and recommendations, which several metric families read, are
-    persisted; catalog and popularity come from the fold's train rows."""
+    persisted; catalog and popularity come from the fold's train rows. Users and items without train rows keep their features,
+    and so are warm, unless prefer_warm_inference_over_cold is off."""
     refs = list(ref_models or [])
     parts = []
     for fold in splitter.split(dataset):
         i = fold.info[Columns.Split]
         train, test = fold.train.persist(), fold.test.select(*dataset.raw.columns).persist()
-        own = dataset.with_interactions(train)
+        own = dataset.with_interactions(train, prefer_warm_inference_over_cold)
         catalog = train.select(Columns.Item).distinct().count()
         users = test.select(Columns.User).distinct()
         context = get_context(test) if any(getattr(m, "require_recommend_context", False) for m in models.values()) else None

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.runtime import small, table_of
 from tidemark.operators.metrics import kinds as M
-from tidemark.operators.metrics.base import DebiasConfig, MetricAtK, auc_lists, check_reco, debias_interactions, hit_lists
+from tidemark.operators.metrics.base import DebiasConfig, MetricAtK, auc_lists, check_reco, debias_interactions, hit_lists, hit_lists_of
 from tidemark.schema import Columns
 
 Metrics = Mapping[str, MetricAtK]
@@ -245,5 +245,60 @@ def calc_metrics(metrics: Metrics, reco: DataFrame, interactions: DataFrame | No
     return {r["metric"]: r["value"] for r in metric_table(metrics, reco, interactions, prev_interactions, catalog, ref_reco).collect()}
 
 
+# Families by name, over the intermediates that callers may already have.
+
+
+def calc_merged_metrics(metrics: Metrics, merged: DataFrame, catalog: object = None) -> dict[str, float]:
+    """Classification and ranking metrics of merged rows (user_id, item_id, rank). Debiasing thins out the merged rows."""
+    if any(m.needs_catalog for m in metrics.values()):  # type: ignore[attr-defined]
+        _needs(catalog, "catalog", "classification")
+    out: dict[str, float] = {}
+    for config, group in _configs(metrics).items():
+        lists = hit_lists_of(_debiased(merged, config), max(m.k for m in group.values()))
+        row = lists.agg(*[F.avg(m.value(_n_catalog(catalog))).alias(n) for n, m in group.items()]).first()  # type: ignore[attr-defined]
+        out |= {n: row[n] for n in group}
+    return out
+
+
+calc_classification_metrics = calc_merged_metrics
+calc_ranking_metrics = calc_merged_metrics
+
+
+def calc_auc_metrics(metrics: Metrics, reco: DataFrame, interactions: DataFrame) -> dict[str, float]:
+    return calc_metrics(metrics, reco, interactions)
+
+
+def calc_novelty_metrics(metrics: Metrics, reco: DataFrame, prev_interactions: DataFrame) -> dict[str, float]:
+    return calc_metrics(metrics, reco, prev_interactions=prev_interactions)
+
+
+def calc_popularity_metrics(metrics: Metrics, reco: DataFrame, prev_interactions: DataFrame) -> dict[str, float]:
+    return calc_metrics(metrics, reco, prev_interactions=prev_interactions)
+
+
+def calc_diversity_metrics(metrics: Metrics, reco: DataFrame) -> dict[str, float]:
+    return calc_metrics(metrics, reco)
+
+
+def calc_serendipity_metrics(metrics: Metrics, reco: DataFrame, interactions: DataFrame, prev_interactions: DataFrame, catalog: object) -> dict[str, float]:
+    return calc_metrics(metrics, reco, interactions, prev_interactions, catalog)
+
+
+def calc_catalog_metrics(metrics: Metrics, reco: DataFrame, catalog: object) -> dict[str, float]:
+    return calc_metrics(metrics, reco, catalog=catalog)
+
+
+def calc_cross_dq_metrics(metrics: Metrics, reco: DataFrame, interactions: DataFrame) -> dict[str, float]:
+    return calc_metrics(metrics, reco, interactions)
+
+
+def calc_reco_dq_metrics(metrics: Metrics, reco: DataFrame) -> dict[str, float]:
+    return calc_metrics(metrics, reco)
+
+
+def calc_intersection_metrics(metrics: Metrics, reco: DataFrame, ref_reco: DataFrame | Mapping[str, DataFrame]) -> dict[str, float]:
+    return calc_metrics(metrics, reco, ref_reco=ref_reco)
+
+
 def users_table(spark: SparkSession, users: Iterable | DataFrame) -> DataFrame:
     return table_of(spark, users, Columns.User)
