@@ -26,6 +26,8 @@ LANGUAGES, UNKNOWN = ("de", "en", "es", "fr"), "und"
 CLASSES = 64
 #: Trigrams of a text that count in full; more are scaled down to this, as they are far from independent.
 EFFECTIVE = 200.0
+#: Share of trigrams that any language's texts hold of names, codes and the like: a short text is not lost by one key.
+NOISE = 0.1
 #: Pseudo-counts: of a trigram, of a declared language or suffix, and of the parent's share in a smoothed prior.
 TRIGRAM_PRIOR, TABLE_PRIOR, HOST_PRIOR = 0.02, 1.0, 8.0
 #: Bytes of text that are turned into trigrams at a time: arrays of some forty times as much live with them.
@@ -77,15 +79,16 @@ def _count(languages: tuple[str, ...]) -> Callable[[Iterator[pa.RecordBatch]], I
 
 
 def fit_text(documents: DataFrame, text: Column, declared: Column, languages: tuple[str, ...] = LANGUAGES) -> np.ndarray:
-    """Log-probabilities of trigrams by language, the unknown language last (even over all trigrams that occur at all).
+    """Log-probabilities of trigrams by language, the unknown language last (even over four times the trigrams that occur at all).
     Counts cover all documents that declare one of the languages; the table has at most languages * CLASSES**3 cells."""
     rows = documents.select(text.alias("text"), declared.alias("declared")).where(F.col("declared").isin(*languages) & F.col("text").isNotNull())
     counts = np.zeros((len(languages), CLASSES**3))
     for r in rows.mapInArrow(_count(languages), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():
         counts.ravel()[r["cell"]] = r["n"]
     counts += TRIGRAM_PRIOR
-    known = np.log(counts / counts.sum(axis=1, keepdims=True))
-    return np.vstack([known, np.full((1, known.shape[1]), -math.log(max(2, 4 * int((counts.sum(0) > len(languages)).sum()))))]).astype(np.float32)
+    alien = 1 / max(2, 4 * int((counts.sum(0) > len(languages) * TRIGRAM_PRIOR + 0.5).sum()))
+    known = np.log((1 - NOISE) * counts / counts.sum(axis=1, keepdims=True) + NOISE * alien)
+    return np.vstack([known, np.full((1, known.shape[1]), math.log(alien))]).astype(np.float32)
 
 
 def _likelihoods(table: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
