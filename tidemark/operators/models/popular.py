@@ -13,7 +13,7 @@ from enum import Enum
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.runtime import dense_index, md5_long, small
+from tidemark.functions.runtime import BROADCAST_ROWS, dense_index, md5_long, small
 from tidemark.schema import Columns
 from tidemark.sources.dataset import Dataset
 
@@ -40,7 +40,7 @@ def popularity_column(kind: Popularity) -> Column:
 def in_period(df: DataFrame, period: timedelta | None, begin_from: datetime | None) -> DataFrame:
     when = F.col(Columns.Datetime)
     if begin_from is not None:
-        return df.where(when >= F.lit(begin_from))
+        return df.where(when >= F.lit(begin_from.isoformat(" ")).cast(df.schema[Columns.Datetime].dataType))
     if period is None:
         return df
     last = df.agg(F.max(Columns.Datetime).alias("__last"))
@@ -91,22 +91,26 @@ class PopularModel(ModelBase):
             scores = scores.unionByName(everything.join(scores, Columns.Item, "left_anti").withColumn(Columns.Score, F.lit(0.0)))
         self.tables = {"scores": scores}
 
-    def _order(self, items: DataFrame | None, length: int | None) -> DataFrame:
+    def _scores(self, items: DataFrame | None) -> DataFrame:
         scores = self.tables["scores"]
-        if items is not None:
-            scores = scores.join(items, Columns.Item, "left_semi")
-        return places(scores, self.inverse, length)
+        return scores if items is None else scores.join(items, Columns.Item, "left_semi")
+
+    def _order(self, items: DataFrame | None, length: int | None) -> DataFrame:
+        return places(self._scores(items), self.inverse, length)
 
     def _u2i(self, users: DataFrame, dataset: Dataset, k: int, filter_viewed: bool, items: DataFrame | None) -> DataFrame:
         if not filter_viewed:
             return self._cold(users, Columns.User, dataset, k, items)
-        history = dataset.raw.join(small(users), Columns.User, "left_semi").select(*Columns.UserItem)
-        # No user needs places beyond k + (items he viewed).
-        most = history.groupBy(Columns.User).agg(F.count("*").alias("c")).agg(F.coalesce(F.max("c"), F.lit(0))).first()[0]
-        order = small(self._order(items, k + most).persist())
-        taken = history.join(order.select(Columns.Item, "place"), Columns.Item)
-        n = order.count()
-        free = first_free(users, taken, k, n)
+        history = dataset.raw.join(users, Columns.User, "left_semi").select(*Columns.UserItem)
+        scores = self._scores(items).persist()
+        n, length = scores.count(), None
+        if n > SHORT_LIST:
+            # No user needs places beyond k + (items he viewed).
+            length = k + history.groupBy(Columns.User).agg(F.count("*").alias("c")).agg(F.coalesce(F.max("c"), F.lit(0))).first()[0]
+            n = min(n, length)
+        order = places(scores, self.inverse, length)
+        order = F.broadcast(order) if n <= BROADCAST_ROWS else order
+        free = first_free(users, history.join(order.select(Columns.Item, "place"), Columns.Item), k, n)
         return free.join(order, "place").select(Columns.User, Columns.Item, Columns.Score, Columns.Rank)
 
     def _cold(self, targets: DataFrame, column: str, dataset: Dataset, k: int, items: DataFrame | None) -> DataFrame:

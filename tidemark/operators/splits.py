@@ -85,17 +85,20 @@ class TimeRangeSplitter(Splitter):
     def get_test_fold_borders(self, df: DataFrame) -> list[tuple[datetime, datetime]]:
         """[start, end) of the windows, oldest first. A last moment that lies on a border opens a further unit."""
         size, unit = int(self.test_size[:-1]), self.test_size[-1]
-        last = df.agg(F.date_trunc("day" if unit == "D" else "hour", F.max(Columns.Datetime))).first()[0]
-        if last is None:
+        # Texts and not Python times cross over, so the session's time zone need not be the driver's.
+        text = df.agg(F.date_format(F.date_trunc("day" if unit == "D" else "hour", F.max(Columns.Datetime)), "yyyy-MM-dd HH:mm:ss")).first()[0]
+        if text is None:
             return []
+        last = datetime.fromisoformat(text)
         step = timedelta(days=1) if unit == "D" else timedelta(hours=1)
         end = last + step
         return [(end - step * size * (i + 1), end - step * size * i) for i in reversed(range(self.n_splits))]
 
     def _folds(self, df: DataFrame) -> Iterator[tuple[DataFrame, DataFrame, dict]]:
         for start, end in self.get_test_fold_borders(df):
-            when = F.col(Columns.Datetime)
-            yield df.where(when < F.lit(start)), df.where((when >= F.lit(start)) & (when < F.lit(end))), {"start": start, "end": end}
+            when, kind = F.col(Columns.Datetime), df.schema[Columns.Datetime].dataType
+            low, high = (F.lit(x.isoformat(" ")).cast(kind) for x in (start, end))
+            yield df.where(when < low), df.where((when >= low) & (when < high)), {"start": start, "end": end}
 
 
 class LastNSplitter(Splitter):
