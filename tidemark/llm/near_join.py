@@ -294,8 +294,8 @@ def near_join(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
 
 def keep_one(documents: DataFrame, **options: object) -> DataFrame:
-    """The document with the least id of each class, all columns; of rows that share that id, one. Rows with a null id stay
-    unless their class holds a named document."""
+    """The document with the least id of each class, all columns; of rows that share that id, one. Rows with a null id, which
+    cannot be told from each other, all stay."""
     id_col = str(options.get("id_col", "doc_id"))
     found = near_join(documents, **options)  # type: ignore[arg-type]
     found = cut(found.select("doc_id", "class_id"))
