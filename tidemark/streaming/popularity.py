@@ -17,11 +17,12 @@ def windowed_popularity(events: DataFrame, size: str = "1 day", lateness: str =
 
 
 def run_once(spark: SparkSession, path: str, name: str, size: str = "1 day") -> DataFrame:
-    """Reads what is in a Parquet table of events as a stream, to its end, and returns the result table."""
+    """Reads what is in a Parquet table of events as a stream, to its end, and returns the result table. Times without a zone
+    are taken, and given back, as UTC; watermarks need times with one."""
     schema = spark.read.parquet(path).schema
     folder, _, file = path.rpartition("/")
     raw = spark.readStream.schema(schema).option("pathGlobFilter", file).parquet(folder)
-    events = raw.select(F.col("event_type").alias(Columns.Item), F.col("value").alias(Columns.Weight), F.col("ts").cast("timestamp").alias(Columns.Datetime))
+    events = raw.select(F.col("event_type").alias(Columns.Item), F.col("value").alias(Columns.Weight), F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col("ts").cast("timestamp_ntz")).cast("timestamp").alias(Columns.Datetime))
     query = windowed_popularity(events, size).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    return spark.table(name).withColumn("window_start", F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col("window_start").cast("timestamp_ntz")))
