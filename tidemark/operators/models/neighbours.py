@@ -61,7 +61,10 @@ class ItemKNNModel(ModelBase):
         cells = self.weighted(user_item_matrix(dataset.raw))
         left = cells.select(Columns.User, F.col(Columns.Item).alias(Columns.TargetItem), F.col(Columns.Weight).alias("a"))
         right = cells.select(Columns.User, Columns.Item, F.col(Columns.Weight).alias("b"))
-        similar = left.join(right, Columns.User).groupBy(Columns.TargetItem, Columns.Item).agg(F.sum(F.col("a") * F.col("b")).alias(Columns.Score)).where(F.col(Columns.Score) != 0)
+        # Each pair of items is summed once and then written both ways.
+        sums = left.join(right, Columns.User).where(F.col(Columns.TargetItem) <= F.col(Columns.Item)).groupBy(Columns.TargetItem, Columns.Item).agg(F.sum(F.col("a") * F.col("b")).alias(Columns.Score)).where(F.col(Columns.Score) != 0)
+        one, two = F.struct(Columns.TargetItem, Columns.Item, Columns.Score), F.struct(F.col(Columns.Item).alias(Columns.TargetItem), F.col(Columns.TargetItem).alias(Columns.Item), Columns.Score)
+        similar = sums.select(F.inline(F.when(F.col(Columns.TargetItem) == F.col(Columns.Item), F.array(one)).otherwise(F.array(one, two))))
         # Scores are compared to 12 digits, so that the order of summation cannot decide a tie.
         best = Window.partitionBy(Columns.TargetItem).orderBy(F.round(Columns.Score, 12).desc(), F.col(Columns.Item).desc())
         self.tables = {"similar": similar.withColumn("__r", F.row_number().over(best)).where(F.col("__r") <= self.K).drop("__r"), "matrix": user_item_matrix(dataset.raw)}

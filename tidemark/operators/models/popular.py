@@ -257,9 +257,13 @@ class PopularInCategoryModel(ModelBase):
         key = F.struct(F.col(column), F.col("category"))
         asked = by_category.withColumn("key", key)
         if history is not None:
-            most = history.groupBy(column).agg(F.count("*").alias("c")).agg(F.coalesce(F.max("c"), F.lit(0))).first()[0]
-            listed = listed.where(F.col("place") <= k + most)
-            taken = history.join(small(listed), Columns.Item).withColumn("key", key).select("key", "place").distinct()
+            listed = listed.persist()
+            n = listed.count()
+            if n > SHORT_LIST:
+                most = history.groupBy(column).agg(F.count("*").alias("c")).agg(F.coalesce(F.max("c"), F.lit(0))).first()[0]
+                listed = listed.where(F.col("place") <= k + most)
+            listed = F.broadcast(listed) if n <= BROADCAST_ROWS else listed
+            taken = history.join(listed, Columns.Item).withColumn("key", key).select("key", "place").distinct()
             seen = taken.groupBy("key").agg(F.collect_set("place").alias("seen"))
             asked = asked.join(seen, "key", "left")
         else:
@@ -268,7 +272,7 @@ class PopularInCategoryModel(ModelBase):
         asked = asked.withColumn("seen", F.coalesce("seen", F.array().cast("array<int>")))
         asked = asked.withColumn("p", F.slice(F.array_except(F.sequence(F.lit(1), F.least(F.lit(k) + F.size("seen"), F.col("n"))), F.col("seen")), 1, k))
         rows = asked.select(column, "category", "priority", "quota", F.posexplode("p").alias("category_rank", "place"))
-        rows = rows.join(small(listed), ["category", "place"])
+        rows = rows.join(listed, ["category", "place"])
         rows = rows.withColumn("main", F.col("category_rank") < F.col("quota"))
         # An item counts once: its main row of the best category, or else its fallback row of the best category.
         once = Window.partitionBy(column, Columns.Item).orderBy(F.col("main").desc(), "priority")
@@ -284,7 +288,7 @@ class PopularInCategoryModel(ModelBase):
         return rows.withColumn(Columns.Rank, F.row_number().over(final)).select(column, Columns.Item, Columns.Score, Columns.Rank)
 
     def _u2i(self, users: DataFrame, dataset: Dataset, k: int, filter_viewed: bool, items: DataFrame | None) -> DataFrame:
-        history = dataset.raw.join(small(users), Columns.User, "left_semi").select(*Columns.UserItem) if filter_viewed else None
+        history = dataset.raw.join(users, Columns.User, "left_semi").select(*Columns.UserItem) if filter_viewed else None
         return self._mix(users, Columns.User, k, items, history)
 
     def _cold(self, targets: DataFrame, column: str, dataset: Dataset, k: int, items: DataFrame | None) -> DataFrame:
