@@ -19,8 +19,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines of a source go from its documents' texts."""
-    return line_dedup.dedup_lines(docs).select(docs.columns)
+    """Boilerplate lines of a source go from its documents' texts; a document that held nothing else goes with them."""
+    found = line_dedup.dedup_lines(docs, long_ratio=line_dedup.LONG_RATIO, spare=False)
+    return found.where("n_dropped = 0 or n_dropped < n_lines").select(docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -354,6 +354,18 @@ def test_pipeline(spark, tmp_path):  # noqa: ANN001
         assert f(spark, empty, folder).collect() == []
 
 
+def test_pipeline_lines_drops_rare_boilerplate_of_every_language(spark):  # noqa: ANN001
+    import corpus_pipeline
+
+    menus = {"en": "Read more of our stories", "fr": "Lire la suite de l'article", "de": "Alle Rechte sind vorbehalten", "es": "Todos los derechos reservados"}
+    docs = [(i, "\n".join([f"own line of page {i}", *["Les."] * (i % 20 == 0), *[m for k, m in enumerate(menus.values()) if i % 40 == k]]), "en", "src0", 0) for i in range(400)]
+    docs.append((900, "\n".join(menus.values()), "en", "src0", 0))
+    df = spark.createDataFrame(docs, DOCS)
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.lines(spark, df, "").collect()}
+    assert set(got) == set(range(400))  # the page of menus alone is gone
+    assert all(t == f"own line of page {i}" + "\nLes." * (i % 20 == 0) for i, t in got.items())  # a short line needs RATIO
+
+
 def test_tidy(spark):  # noqa: ANN001
     from tidemark.llm import common
 
