@@ -15,6 +15,7 @@ from tidemark.operators import models as O
 from tidemark.operators.ann import ItemToItemAnnRecommender, UserToItemAnnRecommender
 from tidemark.operators.models.factors import gram_of
 from tidemark.operators.models.sequential import left_padded, loss_of, sessions, time_buckets
+from tidemark.operators.models.sgd import kth_best
 from tidemark.operators.rank import VectorRanker, recommend_from_scores
 from tidemark.operators.sampling import triplets
 from tidemark.operators.splits import LastNSplitter
@@ -247,6 +248,20 @@ def test_sgd_models_learn(spark):  # noqa: ANN001
         O.LightFMModel(loss="x")
 
 
+def test_warp_kos_reads_k_and_n(spark):  # noqa: ANN001
+    scores = np.array([[0.1, 0.9, 0.5, 7.0], [3.0, 1.0, 2.0, 4.0], [2.0, 9.0, 9.0, 9.0]])
+    assert kth_best(scores, np.array([3, 4, 1]), 2).tolist() == [2, 0, 0]  # places beyond a row's count are no draws
+    assert kth_best(scores, np.array([3, 4, 1]), 9).tolist() == [0, 1, 0]
+    rng = np.random.default_rng(0)
+    rows = [(u, int(rng.integers(0, 10)) + 10 * (u % 2), 1, "2021-01-01") for u in range(60) for _ in range(6)]
+    ds = Dataset.construct(rows_of(spark, rows))
+    fit = lambda epochs=1, **own: O.LightFMModel(8, epochs=epochs, learning_rate=0.2, batch=8, random_state=1, **own).fit(ds)
+    reco = fit(10, loss="warp-kos", k=2, n=4).recommend(list(range(60)), ds, 5, False)
+    assert reco.where((F.col("item_id") >= 10) == (F.col("user_id") % 2 == 1)).count() / reco.count() > 0.8
+    model, *others = [fit(loss="warp-kos", k=2, n=4), fit(loss="warp"), fit(loss="warp-kos", k=1, n=4), fit(loss="warp-kos", k=2, n=8)]
+    assert all(not np.allclose(model.params["item"], o.params["item"]) for o in others)
+
+
 def test_dssm(spark, shared):  # noqa: ANN001
     users = spark.createDataFrame([(u, "g", str(u % 3)) for u in (10, 20, 30, 40)], "id long, feature string, value string")
     items = spark.createDataFrame([(i, "f", str(i % 2)) for i in (11, 12, 13, 14, 15, 17)], "id long, feature string, value string")
