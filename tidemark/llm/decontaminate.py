@@ -1,8 +1,8 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
 Every shard of the training table is indexed where it lies: the postings (token -> positions in the shard's token stream)
-of all tokens that the benchmark uses. A test phrase starts from its rarest term in the shard; the posting lists of its
-further terms, rarest first and shifted by their offsets, are intersected with it. Nothing is shuffled, and no list of a
+of all tokens that the benchmark uses, kept in memory while a piece is scanned. A test phrase starts from the postings of
+its rarest term in the shard; its further terms, rarest first, are verified against the token stream at their offsets. Nothing is shuffled, and no list of a
 shard grows with the corpus. Test phrases are broadcast in blocks of a bounded size.
 """
 
