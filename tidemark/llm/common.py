@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -11,8 +12,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows an Arrow batch holds when whole texts go to Python: bounds a worker's memory.
-TEXT_BATCH = 1024
+#: Rows and bytes an Arrow batch holds when whole texts go to Python: bounds the memory of a worker and of the JVM's buffers.
+TEXT_BATCH, TEXT_BYTES = 1024, 4 << 20
+
+#: Rows of a written file where their number is known beforehand, and the fewest files of such a table.
+FILE_ROWS, FEWEST_FILES = 250_000, 8
 
 #: Rows and bytes up to which a side of a join is broadcast.
 BROADCAST_ROWS = 1_000_000
@@ -41,15 +45,40 @@ def once(name: str, make: Callable[[], object]) -> object:
 
 
 def text_batches(spark: SparkSession) -> None:
-    """Keeps Arrow batches small for plans that send whole texts to Python."""
+    """Keeps Arrow batches small, in bytes above all, for plans that send whole texts to Python."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(TEXT_BYTES))
+
+
+def release() -> None:
+    """Gives memory that a worker has freed back to the system; workers outlive their tasks."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that releases its memory at the end of a task."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return whole
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir, which all executors share; a temporary one only where that is unset (tests)."""
+    """The folder named in spark.checkpoint.dir, which all executors share. A temporary one only in local mode (tests), where
+    there are no other machines; elsewhere the setting must be given."""
     sc = spark.sparkContext
     there = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not there:
+        if not re.match(r"local(\[|$)", sc.master or ""):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         there = tempfile.mkdtemp(prefix="tidemark-")
         sc.setCheckpointDir(there)
     return there.rstrip("/")
@@ -59,13 +88,16 @@ def shared_dir(spark: SparkSession) -> str:
 _written: list[str] = []
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, rows: int | None = None, **options: object) -> DataFrame:
     """Writes a table to the shared folder and reads it again: the lineage ends there, and lost executors cost no
-    recomputation. Results stand on these tables; tidy() deletes them when no result is needed any more."""
+    recomputation. `rows`, if known, bounds the table's rows and so its number of files, which grows with them; `options`
+    are the writer's. Results stand on these tables; tidy() deletes them when no result is needed any more."""
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(FEWEST_FILES, -(-rows // FILE_ROWS)))
     path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
     _written.append(path)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
