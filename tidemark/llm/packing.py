@@ -11,7 +11,9 @@ salted groups. Only piece headers are shuffled, never tokens.
 
 from __future__ import annotations
 
+import functools
 import json
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_ROWS, cut, once, pieces, text_batches
+from .common import BROADCAST_ROWS, cut, once, pieces, text_batches, trimmed
 
 #: Tokens in a sequence (a power of two).
 CAPACITY = 1024
@@ -32,44 +34,86 @@ SLACK = 0
 #: Pieces for each salt of the groups that ranks are counted in, and the most salts.
 GROUP, SALTS = 4_000, 65_536
 END = 0
-SPECIAL = "<|endoftext|>"
+#: Characters in a run of blanks, or of anything else, from which on a text goes to the `tokenizers` library.
+LONG_RUN = 2_000
+BLANKS = re.compile(rf"\s{{{LONG_RUN}}}")
 
 PIECE = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()),
                       T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("doc_tokens", T.LongType()),
                       T.StructField("parts", T.ArrayType(T.LongType()))])
 
 
+def merged(parts: list[bytes], rules: dict[tuple[bytes, bytes], int]) -> list[bytes]:
+    """Byte-pair encoding of one word by the rules themselves: the rule of least rank first, leftmost first."""
+    while len(parts) > 1:
+        rank, at = min((rules.get(pair, len(rules)), i) for i, pair in enumerate(zip(parts, parts[1:])))
+        if rank == len(rules):
+            break
+        parts = [*parts[:at], parts[at] + parts[at + 1], *parts[at + 2 :]]
+    return parts
+
+
+@functools.lru_cache(maxsize=8)
+def ranked_by_id(path: str) -> bool:
+    """Whether a plain byte-level file may be run by ids as ranks of whole tokens. Three things must hold: rules come in the
+    order of their tokens' ids; every token but the bytes comes from a rule; and every token, cut into bytes, is merged back
+    into itself. Then two neighbours that make up a token always are what its rule joins: nothing was merged across the
+    token's ends, so its bytes went through the same merges as they do alone, and those end in the token."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    plain = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec.get("normalizer")
+    if not plain or model["type"] != "BPE" or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")):
+        return False
+    code, special = byte_codes(), {t["content"] for t in spec.get("added_tokens", [])}
+    decode = lambda t: bytes(code[c] for c in t)
+    rules = {}
+    for rule in model["merges"]:
+        a, b = rule.split(" ") if isinstance(rule, str) else rule
+        rules[decode(a), decode(b)] = len(rules)
+    ids = {decode(t): i for t, i in model["vocab"].items() if t not in special}
+    made = [ids.get(a + b, -1) for a, b in rules]
+    if made != sorted(set(made)) or -1 in made or set(ids) != {bytes([b]) for b in range(256)} | {a + b for a, b in rules}:
+        return False
+    if max(ids[bytes([b])] for b in range(256)) > min(made, default=256):
+        return False
+    return all(len(t) < 3 or merged([t[i : i + 1] for i in range(len(t))], rules) == [t] for t in ids)
+
+
+def byte_codes() -> dict[str, int]:
+    """Byte-level files write a byte as the character of its code if that is printable, the others from U+0100 on in order."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
+
+
 class Encoder:
-    """Token ids of a byte-level BPE file of the `tokenizers` library (add_special_tokens=False).
+    """Token ids of a file of the `tokenizers` library (add_special_tokens=False).
 
-    Plain byte-level files are run by a faster BPE over the same vocabulary; texts that hold a special token's string, and
-    any other kind of file, go to the `tokenizers` library itself. tests/llm holds both against each other.
+    Where `fast` (see ranked_by_id) holds, a faster BPE runs over the same vocabulary. Texts that hold a special token's
+    string or a run of LONG_RUN blanks or other characters (the faster one's patterns recurse, its merges are quadratic), and
+    all other files, go to `tokenizers` itself. tests/llm holds both against each other.
     """
 
     #: Fixed value: the word pattern of byte-level BPE, as public_tokenizers gives it.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, fast: bool | None = None):
+        fast = ranked_by_id(path) if fast is None else fast
         self.path, self.whole = path, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        plain = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec.get("normalizer")
-        plain = plain and not model.get("dropout") and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix") and not model.get("ignore_merges")
-        self.fast = self._ranks(model["vocab"]) if plain and model["type"] == "BPE" else None
+        self.fast = self._ranks(spec["model"]["vocab"]) if fast else None
 
     def _ranks(self, vocab: dict[str, int]) -> object:
         import tiktoken
 
-        # Byte-level files write a byte as the character of its code if that is printable, the others from U+0100 on in order.
-        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-        code = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
+        code = byte_codes()
         ranks = {bytes(code[c] for c in t): i for t, i in vocab.items() if t not in self.special}
         return tiktoken.Encoding("bytes", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> list[int]:
-        if self.fast is None or any(s in text for s in self.special):
+        if self.fast is None or any(s in text for s in self.special) or len(text) >= LONG_RUN and (BLANKS.search(text) or max(map(len, text.split()), default=0) >= LONG_RUN):
             if self.whole is None:
                 from tokenizers import Tokenizer
 
@@ -83,11 +127,11 @@ def powers(length: int) -> list[int]:
     return [1 << b for b in range(length.bit_length() - 1, -1, -1) if length >> b & 1]
 
 
-def cutter(path: str, capacity: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def cutter(path: str, capacity: int, fast: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Headers of every document's pieces: full windows, then the tail with the checksums of its parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = once(f"encoder {path}", lambda: Encoder(path))
+        encode = once(f"encoder {path}", lambda: Encoder(path, fast))
         for whole in batches:
             for batch in pieces(whole):
                 rows: list[tuple] = []
@@ -285,13 +329,13 @@ def pack(documents: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_c
     spark = documents.sparkSession
     text_batches(spark)
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    heads = cut(docs.mapInArrow(cutter(tokenizer, capacity), PIECE))
+    heads = cut(docs.mapInArrow(trimmed(cutter(tokenizer, capacity, ranked_by_id(tokenizer))), PIECE))
     total = heads.count()
     groups = min(SALTS, max(32, total // GROUP))
     salted = heads.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
     counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = cut(counts.withColumn("before", before))
+    counts = cut(counts.withColumn("before", before), min(total, groups * capacity))
     histogram = {r["length"]: r["c"] for r in counts.groupBy("length").agg(F.sum("n").alias("c")).collect()}  # one row a length
     lay = layout(plan_of(histogram, capacity))
     order = Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")
