@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import time
+
 import random
 
 import numpy as np
@@ -72,7 +75,7 @@ def dice(a: str, b: str) -> float:
 
 
 def test_license_scan(spark):  # noqa: ANN001
-    long = license_scan.TEMPLATES[1][1]
+    long = license_scan.TEMPLATES[2][1]
     rows = [
         (1, "Some words.\nReleased under the MIT License.\nMore."), (2, "x " * 30_000 + "\n" + long), (3, "Licensed under CC BY-NC 4.0. And prose goes on."), (4, None), (5, ""), (6, "license"),
         (7, "This work is licensed under the GNU General Public License, version 3."), (7, "This work is licensed under the GNU General Public License, version 3."),
@@ -87,6 +90,52 @@ def test_license_scan(spark):  # noqa: ANN001
     assert license_scan.scan(df, templates=[]).where("license is not null").collect() == []
 
 
+GNU = "This program is free software{} you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version."
+CC = "This work is licensed under a Creative Commons Attribution{} 4.0 International License."
+LICENSE_FILE = """Copyright (c) 2001, Some One.
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+{}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED."""
+CLAUSE = """3. Neither the name of {} nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+"""
+
+
+def commented(text: str, mark: str) -> str:
+    return "\n".join(f"{mark} {x}".rstrip() for x in text.split("\n"))
+
+
+def test_licenses_are_told_from_their_siblings(spark):  # noqa: ANN001
+    gpl3 = GNU.format(":", "", ",", 3)
+    wrapped = gpl3.replace(" under", "\nunder").replace(" either", "\neither")
+    rows = [
+        (GNU.format(";", "", ";", 2), "GPL-2.0"), (gpl3, "GPL-3.0"), (GNU.format(":", "Lesser ", ",", 3), "LGPL-3.0"), (GNU.format(";", "Lesser ", ";", "2.1").replace("program", "library"), "LGPL-2.1"),
+        (GNU.format(":", "Affero ", ",", 3), "AGPL-3.0"), *[(CC.format(x and "-" + x), y) for x, y in (
+            ("", "CC-BY-4.0"), ("NonCommercial", "CC-BY-NC-4.0"), ("NonCommercial-NoDerivatives", "CC-BY-NC-ND-4.0"), ("NonCommercial-ShareAlike", "CC-BY-NC-SA-4.0"), ("NoDerivatives", "CC-BY-ND-4.0"),
+            ("ShareAlike", "CC-BY-SA-4.0"))],
+        (LICENSE_FILE.format(""), "BSD-2-Clause"), (LICENSE_FILE.format(CLAUSE.format("the copyright holder")), "BSD-3-Clause"), (LICENSE_FILE.format(CLAUSE.format("Some One")), "BSD-3-Clause"),
+        *[(f"#!/bin/sh\n{mark}\n" + commented("Copyright Some One\n\n" + wrapped + "\n\nMore words follow here.", mark) + "\nrun", "GPL-3.0") for mark in ("#", " *", "//", "--")],
+        ("word\n" * 3 + "\n" * 20_000 + "Released under the MIT License.\n" + "-" * 20_000 + "\nmore", "MIT"),
+    ]
+    df = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in license_scan.scan(df).collect()}
+    for i, (_, name) in enumerate(rows):
+        assert (got[i]["license"], got[i]["licenses"]) == (name, name), rows[i][0][:200]
+
+
 def test_license_filter_loses_nothing():
     rnd = random.Random(2)
     for name, text in license_scan.TEMPLATES:
@@ -306,7 +355,7 @@ def test_warc(spark):  # noqa: ANN001
     assert len(found) == 2 * len(rows)
     one = {r["record_type"]: r for r in found if r["page_id"] == 1}
     assert one["conversion"]["block"] == "A & B\nHallo\nWelt <3\nl"
-    assert "source-header-content-type: text/html\r\n" in one["metadata"]["block"] and "outlink: /x a/href\r\n" in one["metadata"]["block"]
+    assert "source-header: Content-Type: text/html\r\n" in one["metadata"]["block"] and "outlink: /x a/href\r\n" in one["metadata"]["block"]
     assert one["conversion"]["refers_to"] == one["metadata"]["refers_to"] != one["conversion"]["record_id"]
     assert one["conversion"]["payload_digest"] == warc.digest(page.encode())
     data = b"".join(bytes(r["warc"]) for r in warc.serialise(got).collect())
@@ -316,3 +365,92 @@ def test_warc(spark):  # noqa: ANN001
     assert sorted((r["warc-record-id"], r["warc-refers-to"], r["block"].decode(), r["warc-block-digest"]) for r in back) == want
     assert all(warc.digest(r["block"]) == r["warc-block-digest"] for r in back)
     assert warc.derivatives(df.limit(0)).collect() == []
+    assert all(r["warc-payload-digest"] in {warc.digest((t or "").encode()) for _, _, t in rows} for r in back)
+
+
+def test_warc_headers_are_kept_verbatim(spark):  # noqa: ANN001
+    pairs = [("Set-Cookie", "a=1"), ("Link", '</a?b=1&amp;c=2>;  rel="x"'), ("Set-Cookie", "b=2"), ("X-Empty", None), ("X-Folded", "one\r\n two")]
+    df = spark.createDataFrame([(1, "http://a/", "<p>x</p>", pairs), (2, "http://b/", "", None)], "page_id long, url string, html string, h array<struct<name:string,value:string>>")
+    got = {(r["page_id"], r["record_type"]): r for r in warc.derivatives(df, headers=F.col("h")).collect()}
+    want = 'Set-Cookie: a=1\r\nLink: </a?b=1&amp;c=2>;  rel="x"\r\nSet-Cookie: b=2\r\nX-Empty: \r\nX-Folded: one  two\r\n'
+    assert got[1, "conversion"]["source_headers"] == want and got[2, "metadata"]["source_headers"] == ""
+    assert [x[15:] for x in got[1, "metadata"]["block"].split("\r\n") if x.startswith("source-header: ")] == want.split("\r\n")[:-1]
+    assert all(r["source_headers"] == "" for r in warc.derivatives(df).collect())
+    with pytest.raises(ValueError):
+        warc.derivatives(df.withColumnRenamed("page_id", "date"), id_col="date")
+
+
+def test_unclosed_markup_takes_linear_time():
+    assert warc.plain_text("<p>hi</p><script>var x=1") == "hi"
+    assert warc.plain_text("a<!-- never closed <p>b") == "a"
+    assert warc.plain_text("a <b") == "a"
+    began = time.monotonic()
+    for opener in ("<script ", "<script>", "<!-- ", "<a href=x ", "<title>", "<p ", "<html ", "<"):
+        page = opener * 100_000
+        warc.plain_text(page)
+        warc.metadata(page, "r", [], "d")
+    assert time.monotonic() - began < 20
+
+
+PAGES = [
+    ('<html lang="de-AT"><body>x</body>', "de", "x"), ("<HTML class=a LANG='fr'>y", "fr", "y"), ("<html>z", "", "z"), ("no markup", "", "no markup"), ("", "", ""),
+    ('<html xml:lang="es"><script>var a = "wort";</script>hola<style>p{}', "es", "hola"), ("<html lang=en><!-- lang -->a&nbsp;b<br/>c", "en", "a b c"), ("<p>open <script>code", "", "open"),
+]
+
+
+def test_language_of_markup(spark):  # noqa: ANN001
+    df = spark.createDataFrame([(i, p[0]) for i, p in enumerate(PAGES)], "i int, html string")
+    for r in df.select("i", langid.html_lang(F.col("html")).alias("lang"), langid.html_text(F.col("html")).alias("text")).collect():
+        _, lang, text = PAGES[r["i"]]
+        assert (r["lang"][:2], " ".join(r["text"].split())) == (lang, text)
+    null = df.limit(1).select(langid.html_lang(F.lit(None).cast("string")).alias("a"), langid.html_text(F.lit(None).cast("string")).alias("b")).first()
+    assert null["b"] is None
+
+
+def test_fusion_matches_the_formula(spark):  # noqa: ANN001
+    """The whole fusion by plain Python, over the model's own trigram table."""
+    rnd = np.random.default_rng(4)
+    words = {"en": "the of and town people house", "de": "der und stadt haus nicht leute", "es": "que los pueblo casa gente para", "fr": "les des ville maison gens pour"}
+    rows = []
+    for i in range(160):
+        lang = list(words)[i % 4]
+        text = " ".join(rnd.choice(words[lang].split(), rnd.integers(0, 12))) if i % 9 else "12 34"
+        host = f"{'abc'[i % 3]}.{'xy'[i % 2]}.{lang if i % 5 else 'com'}" if i % 7 else None
+        rows.append((i, text, (lang if i % 3 else ["", "en-GB", None, "qq"][i % 4]), host))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    code = lambda x: (re.match(r"\s*([A-Za-z]*)", x or "") or [""])[1].lower()
+    table = langid.fit_text(df, F.col("text"), F.lower(F.regexp_extract(F.coalesce("lang", F.lit("")), r"^\s*([A-Za-z]+)", 1)))
+    k, classes = len(langid.LANGUAGES) + 1, langid.letter_classes()
+    u = langid.UNKNOWN_SHARE
+    norm = lambda logs: np.exp(logs - logs.max()) / np.exp(logs - logs.max()).sum()
+    facts = []
+    for i, text, lang, host in rows:
+        tri = langid.trigrams([text], classes)[1]
+        site = (host or "").lower()
+        parts = site.split(".")
+        ll = table[:, tri].astype(float).sum(1) * min(1, langid.EFFECTIVE / max(1, len(tri)))
+        p = norm(ll + np.log([(1 - u) / (k - 1)] * (k - 1) + [u])) if len(tri) else np.zeros(k)
+        facts.append((i, len(tri), ll, p, site, ".".join(parts[-2:]) if len(parts) > 1 else "", parts[-1] if len(parts) > 1 else "", code(lang)))
+    total = lambda at, value: sum((f[3] for f in facts if f[at] == value), np.zeros(k))
+    share = sum(f[3] for f in facts) + 1.0
+    if share[-1] < u * share.sum():
+        share[-1] = u * share[:-1].sum() / (1 - u)
+    share = share / share.sum()
+    smooth = lambda counts, parent: (counts + langid.HOST_PRIOR * parent) / (counts.sum() + langid.HOST_PRIOR)
+
+    def evidence(at: int, value: str) -> np.ndarray:
+        known = sorted({f[at] for f in facts if f[1] and f[at]})
+        if value not in known:
+            return np.zeros(k)
+        sums = sum(total(at, v) for v in known)
+        return np.log((total(at, value) + langid.TABLE_PRIOR) / (sums + langid.TABLE_PRIOR * (len(known) + 1)))
+
+    got = {r["doc_id"]: r for r in langid.identify(df, declared=F.col("lang"), host=F.col("source")).collect()}
+    for i, n, ll, _, site, domain, suffix, declared in facts:
+        held = [f for f in facts if f[1] and f[4] == site]
+        prior = smooth(total(4, site), smooth(total(5, domain), smooth(total(6, suffix), share))) if held else share
+        post = norm(ll + np.log(prior) + evidence(7, declared) + evidence(6, suffix))
+        best = int(post.argmax())
+        assert abs(got[i]["posterior"] - post.max()) < 1e-6
+        assert got[i]["lang"] == (*langid.LANGUAGES, langid.UNKNOWN)[best]
+        assert got[i]["accepted"] == (n > 0 and best < k - 1 and post.max() >= langid.ACCEPT)

@@ -87,15 +87,16 @@ def dedup_lines(
     )
 
 
-#: The same for `documents` in DuckDB.
+#: The query's result for `documents` in DuckDB.
 ORACLE_SQL = f"""
 with pages as (select source, text, md5(text) as page, list_distinct(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '')) as lines
                from documents where text is not null),
 totals as (select source, count(distinct page) as pages from pages group by source),
 counts as (select source, line, count(distinct page) as n from (select source, page, unnest(lines) as line from pages) group by source, line),
-bad as (select c.source, list(c.line) as lines from counts c join totals t on c.source is not distinct from t.source where c.n >= {LEAST} and c.n > {RATIO} * t.pages group by c.source),
+bad as (select c.source, list(c.line) as lines from counts c join totals t on c.source is not distinct from t.source
+        where c.n >= {LEAST} and c.n > (case when length(c.line) >= {LONG} then {LONG_RATIO} else {RATIO} end) * t.pages group by c.source),
 parts as (select d.*, string_split(d.text, chr(10)) as a, list_filter(string_split(d.text, chr(10)), lambda x: trim(x, ' ') = '' or not coalesce(list_contains(b.lines, trim(x, ' ')), false)) as k
           from documents d left join bad b on d.source is not distinct from b.source),
 sized as (select *, coalesce(len(list_filter(a, lambda x: trim(x, ' ') <> '')), 0) as n, coalesce(len(list_filter(k, lambda x: trim(x, ' ') <> '')), 0) as m from parts)
-select doc_id, case when m = 0 or n = m then text else array_to_string(k, chr(10)) end as text, cast(n as bigint) as n_lines, cast(case when m = 0 then 0 else n - m end as bigint) as n_dropped from sized
+select doc_id, case when n = m then text else array_to_string(k, chr(10)) end as text, cast(n as bigint) as n_lines, cast(n - m as bigint) as n_dropped from sized
 """

@@ -34,7 +34,8 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), long_ratio=line_dedup.LONG_RATIO, spare=False)
+    return found.select("doc_id", "text", "n_lines", "n_dropped")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,9 +69,8 @@ def op7_language_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`pages` keep no headers; what an HTTP response of them must have said is restored from the payload."""
-    headers = F.create_map(F.lit("Content-Type"), F.lit("text/html; charset=utf-8"), F.lit("Content-Length"), F.octet_length("html").cast("string"))
-    return warc.derivatives(table(spark, sf_dir, "pages"), headers=headers)
+    """`pages` keep no headers, so the records have none."""
+    return warc.derivatives(table(spark, sf_dir, "pages"))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
