@@ -86,6 +86,17 @@ def byte_codes() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
 
 
+def has_long_run(text: str) -> bool:
+    """Whether LONG_RUN characters on end are blank, or none of them is. Such a run covers one whole block of half as many, so
+    a text is searched only if a block is blank or without a blank."""
+    half = LONG_RUN // 2
+    for at in range(0, len(text) - half + 1, half):
+        block = text[at : at + half]
+        if " " not in block or block.isspace():
+            return bool(BLANKS.search(text)) or max(map(len, text.split()), default=0) >= LONG_RUN
+    return False
+
+
 class Encoder:
     """Token ids of a file of the `tokenizers` library (add_special_tokens=False).
 
@@ -113,7 +124,7 @@ class Encoder:
         return tiktoken.Encoding("bytes", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> list[int]:
-        if self.fast is None or any(s in text for s in self.special) or len(text) >= LONG_RUN and (BLANKS.search(text) or max(map(len, text.split()), default=0) >= LONG_RUN):
+        if self.fast is None or any(s in text for s in self.special) or has_long_run(text):
             if self.whole is None:
                 from tokenizers import Tokenizer
 
