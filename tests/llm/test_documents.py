@@ -10,7 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tidemark.llm import decontaminate, graph, near_join, packing
+from tidemark.llm import decontaminate, graph, langid, near_join, packing
 from tidemark.llm.common import words_of
 from tidemark.llm.queries import tokenizer_path
 
@@ -91,7 +91,7 @@ def test_spans_and_proximity(spark):  # noqa: ANN001
     assert [(s["start"], s["end"]) for s in got[1]["spans"]] == [(1, 11)]
     assert (got[1]["items"], got[2]["items"], got[3]["items"]) == (["7"], [], [])
     assert (got[1]["near_items"], got[2]["near_items"], got[3]["near_items"]) == (["7"], ["7"], [])
-    found = {(r["term"], r["doc_id"]): r["positions"] for r in decontaminate.postings(df).collect()}
+    found = {(r["term"], r["doc_id"]): r["positions"] for r in decontaminate.postings(decontaminate.build_index(df)).collect()}
     assert found["extra", 3] == list(range(5, 14)) and found["p0", 1] == [1]
 
 
@@ -152,6 +152,31 @@ def test_encoder_matches_the_library():
     assert other.fast is None and other("Some Words") == Tokenizer.from_file(tokenizer_path("word_bpe_49k.json")).encode("Some Words", add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", [" " * 2_000_000, "a" * 2_000_000, "\n" * 2_000_000, "x " + " \t" * 1_500 + "\u00a0" * 1_000 + "y", "日" * 5_000 + "  z"])
+def test_encoder_on_long_runs(text):  # noqa: ANN001
+    from tokenizers import Tokenizer
+
+    assert packing.Encoder(tokenizer_path())(text) == Tokenizer.from_file(tokenizer_path()).encode(text, add_special_tokens=False).ids
+
+
+def test_ids_are_ranks_only_in_order_of_the_rules(tmp_path):  # noqa: ANN001
+    import json
+
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    assert packing.ranked_by_id(tokenizer_path())
+    swapped = json.loads(json.dumps(spec))
+    merges = swapped["model"]["merges"]
+    merges[0], merges[40] = merges[40], merges[0]
+    blanks = json.loads(json.dumps(spec))
+    blanks["normalizer"] = {"type": "Lowercase"}
+    for name, other in (("swapped.json", swapped), ("lower.json", blanks)):
+        (tmp_path / name).write_text(json.dumps(other), encoding="utf-8")
+        path = str(tmp_path / name)
+        assert not packing.ranked_by_id(path)
+        assert packing.Encoder(path)("The Rules apply") == packing.Encoder(path, False)("The Rules apply")
+
+
 def check_packing(rows: list[dict], docs: list[tuple], capacity: int) -> int:
     """Every id in one piece, right checksums, gapless sequences; returns the padding."""
     from tokenizers import Tokenizer
@@ -194,7 +219,7 @@ def check_packing(rows: list[dict], docs: list[tuple], capacity: int) -> int:
 def test_packing(spark, hot):  # noqa: ANN001
     rnd = random.Random(3)
     docs = [(i, prose(rnd, int(rnd.lognormvariate(5, 1.2)))) for i in range(150)] + [(500 + i, "same text " * 40) for i in range(hot)]
-    docs += [(900, None), (901, ""), (902, "w1 " * 9000), (0, docs[0][1]), (0, docs[0][1]), (0, "other text under a repeated id"), (None, "no id"), *[(910 + i, t) for i, t in enumerate(TEXTS)]]
+    docs += [(900, None), (901, ""), (902, "w1 " * 9000), (903, " " * 1_200_000), (904, "\n"), (905, "é" * 50_000), (0, docs[0][1]), (0, docs[0][1]), (0, "other text under a repeated id"), (None, "no id"), *[(920 + i, t) for i, t in enumerate(TEXTS)]]
     df = spark.createDataFrame([(*d, "clash") for d in docs], "doc_id long, text string, length string")
     got = [r.asDict() for r in packing.pack(df, tokenizer_path()).collect()]
     assert check_packing(got, docs, packing.CAPACITY) == 0
@@ -283,7 +308,23 @@ def test_repeated_ids_are_one_document(spark):  # noqa: ANN001
     docs = [(1, a), (1, b), (1, a), (2, a), (3, b), (4, prose(rnd, 50))]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert {r["class_id"] for r in near_join.near_join(df).where("doc_id < 4").collect()} == {1}
-    assert sorted(r["doc_id"] for r in near_join.keep_one(df).collect()) == [1, 4]
+    # keep_one judges rows: each of the two texts under id 1 stands for its own class.
+    assert sorted(map(tuple, near_join.keep_one(df).collect())) == sorted([(1, a), (1, b), (4, docs[5][1])])
+
+
+def test_rows_without_an_id_or_with_a_repeated_one(spark):  # noqa: ANN001
+    rnd = random.Random(6)
+    a, b, c = prose(rnd, 60), prose(rnd, 60), prose(rnd, 60)
+    docs = [(None, a, 1), (None, a + " w1", 2), (None, b, 3), (5, b, 4), (6, c, 5), (6, None, 6), (6, "", 7), (None, "...", 8)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, class_id int")
+    assert sorted(r["class_id"] for r in near_join.keep_one(df).collect()) in ([1, 4, 5, 6, 7, 8], [2, 4, 5, 6, 7, 8])
+    bench = spark.createDataFrame([(1, b)], "item_id long, text string")
+    assert sorted(r["class_id"] for r in decontaminate.clean(df, bench).collect()) == [1, 2, 5, 6, 7, 8]
+    assert near_join.keep_one(df.limit(0)).collect() == [] == decontaminate.clean(df.limit(0), bench).collect()
+    english = "the people of the town went to the market and they bought all that was there for the children of the house"
+    rows = [(None, english, "en", "s", 1), (1, english, "en", "s", 2), (1, "1234 5678", "en", "s", 3), (None, "", "en", "s", 4), (None, None, None, None, 5), (1, english * 2_000, "en", "s", 6)]
+    judged = langid.accepted(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, accepted int"))
+    assert sorted(r["accepted"] for r in judged.collect()) == [1, 2, 6]
 
 
 def test_without_broadcast(spark, monkeypatch):  # noqa: ANN001

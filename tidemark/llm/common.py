@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes an Arrow batch holds when whole texts go to Python: bounds the memory of a worker and of the JVM's buffers.
@@ -103,12 +103,35 @@ def cut(df: DataFrame, rows: int | None = None, **options: object) -> DataFrame:
 
 def tidy(spark: SparkSession) -> None:
     """Deletes the tables that cut() has written, through Hadoop's file systems."""
+    paths = list(_written)
+    _written.clear()
+    _delete(spark, paths)
+
+
+def mark() -> int:
+    """A point in the list of written tables; see drop_since."""
+    return len(_written)
+
+
+def drop_since(spark: SparkSession, point: int) -> None:
+    """Deletes the tables written since a mark but for the last one, which holds what was made of them."""
+    last = _written.pop()
+    old, _written[point:] = _written[point:], [last]
+    _delete(spark, old)
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
     jvm = spark.sparkContext._jvm
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())  # type: ignore[union-attr]
+    for x in paths:
+        path = jvm.org.apache.hadoop.fs.Path(x)  # type: ignore[union-attr]
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def text_key(column: str) -> Column:
+    """128 bits that stand for a text where rows are judged by their texts; null for null."""
+    return F.unhex(F.md5(F.col(column).cast("binary")))
+
+
 def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most `limit` (fixed-width) rows; else as it is, for a shuffled join."""
     rows = df.limit(limit + 1).count() if rows is None else rows

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, pieces, small, text_batches, trimmed, words_of
+from .common import BROADCAST_ROWS, cut, drop_since, mark, pieces, small, text_batches, text_key, trimmed, words_of
 
 #: Words a window has.
 WINDOW = 10
@@ -36,8 +36,8 @@ SEGMENT = 2 << 20
 GAP = 64
 #: Windows whose terms are looked up at a time.
 LOOKUPS = 1 << 16
-#: Key of a row in tables that are judged row by row.
-ROW = "__row"
+#: Name of the column of texts' keys in the table of rejected ones.
+KEY = "__tidemark_key"
 
 
 class Phrases:
@@ -303,16 +303,16 @@ def digest(found: DataFrame) -> DataFrame:
 def clean(
     documents: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW
 ) -> DataFrame:
-    """The documents without a hit word, all columns. Rows are judged one by one, by a key that is written with them, so rows
-    that share an id or have none are documents like all others. Null, empty and wordless texts stay; very long texts are
-    searched whole; an empty benchmark lets all stay; an empty table stays empty. Columns may have any name but __row."""
-    if ROW in documents.columns:
-        raise ValueError(f"a column is named {ROW}")
-    keyed = cut(documents.withColumn(ROW, F.monotonically_increasing_id()))
-    index = build_index(keyed, id_col=ROW, text_col=text_col)
+    """The documents without a hit word, all columns. Rows are judged by their texts alone, so rows that share an id or have
+    none are documents like all others, and equal texts fare alike. Null, empty and wordless texts stay; very long texts are
+    searched whole; an empty benchmark lets all stay; an empty table stays empty. Columns may have any name."""
+    point = mark()
+    index = build_index(documents.select(text_key(text_col).alias("key"), F.col(text_col).alias("text")), id_col="key")
     found = search(index, benchmark, item_col=item_col, item_text_col=item_text_col, window=window, slop=0)
-    gone = cut(found.where("n_hit > 0").select(F.col("doc_id").alias(ROW)), keyed.count())
-    return keyed.join(small(gone, gone.count()), ROW, "left_anti").select(*[F.col(f"`{c}`") for c in documents.columns])
+    gone = cut(found.where("n_hit > 0").select(F.col("doc_id").alias(KEY)).distinct())
+    drop_since(documents.sparkSession, point)
+    side = small(gone, gone.count(), BROADCAST_ROWS // 2)
+    return documents.join(side, text_key(text_col) == F.col(KEY), "left_anti")
 
 
 def sha256_of(items: list[str]) -> str:

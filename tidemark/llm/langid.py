@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_ROWS, cut, once, pieces, small, text_batches
+from .common import BROADCAST_ROWS, cut, drop_since, mark, once, pieces, small, text_batches, trimmed
 
 #: Languages told apart, and the name of everything else.
 LANGUAGES, UNKNOWN = ("de", "en", "es", "fr"), "und"
@@ -32,6 +32,8 @@ NOISE = 0.1
 TRIGRAM_PRIOR, TABLE_PRIOR, HOST_PRIOR = 0.02, 1.0, 8.0
 #: Bytes of text that are turned into trigrams at a time: arrays of some forty times as much live with them.
 PIECE = 1 << 20
+#: Name of the column of rows' keys in the table of rejected ones.
+KEY = "__tidemark_key"
 #: Prior share of unknown languages, and the posterior that an accepted document has at least.
 UNKNOWN_SHARE, ACCEPT = 0.02, 0.5
 
@@ -83,7 +85,7 @@ def fit_text(documents: DataFrame, text: Column, declared: Column, languages: tu
     Counts cover all documents that declare one of the languages; the table has at most languages * CLASSES**3 cells."""
     rows = documents.select(text.alias("text"), declared.alias("declared")).where(F.col("declared").isin(*languages) & F.col("text").isNotNull())
     counts = np.zeros((len(languages), CLASSES**3))
-    for r in rows.mapInArrow(_count(languages), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in rows.mapInArrow(trimmed(_count(languages)), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():
         counts.ravel()[r["cell"]] = r["n"]
     counts += TRIGRAM_PRIOR
     alien = 1 / max(2, 4 * int((counts.sum(0) > len(languages) * TRIGRAM_PRIOR + 0.5).sum()))
@@ -101,9 +103,7 @@ def _likelihoods(table: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iter
                 n = np.bincount(owner, minlength=len(texts))
                 scale = np.minimum(1, EFFECTIVE / np.maximum(n, 1))
                 sums = np.stack([np.bincount(owner, t[code], len(texts)) * scale for t in table], axis=1)
-                arrays = [batch.column(c) for c in batch.schema.names if c != "text"]
-                names = [c for c in batch.schema.names if c != "text"]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(n, pa.int64()), pa.array(sums.tolist(), pa.list_(pa.float64()))], [*names, "n_trigrams", "text_ll"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64()), pa.array(sums.tolist(), pa.list_(pa.float64()))], [*batch.schema.names, "n_trigrams", "text_ll"])
 
     return run
 
@@ -121,20 +121,11 @@ def _array(k: int) -> Column:
     return F.array(*[F.col(f"s{i}") for i in range(k)])
 
 
-def identify(
-    documents: DataFrame, *, id_col: str = "doc_id", text: Column | None = None, declared: Column | None = None, url: Column | None = None,
-    host: Column | None = None, languages: tuple[str, ...] = LANGUAGES, accept: float = ACCEPT, model: np.ndarray | None = None, keep: list[str] | None = None,
+def _judged(
+    documents: DataFrame, kept: list[Column], text: Column, declared: Column | None, url: Column | None, host: Column | None, languages: tuple[str, ...], accept: float, model: np.ndarray | None
 ) -> DataFrame:
-    """One row per document: the id, the `keep` columns, lang, posterior, accepted, declared and n_trigrams.
-
-    text, declared and url (or host) are expressions; a missing one is no evidence. Declared codes are cut at '-' or '_' and
-    lower-cased, the suffix is the host's last label, the domain its last two. A text without letters has no evidence of its
-    own and is never accepted; other documents are accepted if the posterior of their best language reaches `accept` and it
-    is a known one. Null texts count as empty; null hosts share the table's prior. Ties go to the language named first.
-    Repeated rows each give a row. An empty table gives none.
-    """
+    """The kept columns as k0, k1, ... and lang, posterior, accepted, declared, n_trigrams for each row."""
     text_batches(documents.sparkSession)
-    text = F.col("text") if text is None else text
     none = F.lit(None).cast("string")
     code = F.lower(F.regexp_extract(F.coalesce(none if declared is None else declared, F.lit("")), r"^\s*([A-Za-z]+)", 1))
     site = F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)) if url is not None else F.coalesce(none if host is None else host, F.lit(""))
@@ -142,18 +133,22 @@ def identify(
     dotted = F.size(labels) > 1
     names = (*languages, UNKNOWN)
     k = len(names)
+    own = [f"k{i}" for i in range(len(kept))]
     rows = documents.select(
-        F.col(id_col), *[F.col(c) for c in keep or [] if c != id_col], text.alias("text"), code.alias("declared"), site.alias("host"),
+        *[c.alias(n) for c, n in zip(kept, own)], text.alias("text"), code.alias("declared"), site.alias("host"),
         F.when(dotted, F.concat_ws(".", F.slice(labels, -2, 2))).otherwise(F.lit("")).alias("domain"),
         F.when(dotted, F.element_at(labels, -1)).otherwise(F.lit("")).alias("suffix"),
     )
     table = fit_text(rows, F.col("text"), F.col("declared"), languages) if model is None else model
-    kinds = [f for f in rows.schema.fields if f.name != "text"]
-    seen = cut(rows.mapInArrow(_likelihoods(table), T.StructType([*kinds, T.StructField("n_trigrams", T.LongType()), T.StructField("text_ll", T.ArrayType(T.DoubleType()))])))
+    seen = rows.mapInArrow(trimmed(_likelihoods(table)), T.StructType([*rows.schema.fields, T.StructField("n_trigrams", T.LongType()), T.StructField("text_ll", T.ArrayType(T.DoubleType()))]))
+    seen = cut(seen.drop("text"))
+    # How many hosts, codes and suffixes there are, about: decides on files alone.
+    about = seen.agg(*[F.approx_count_distinct(c) for c in (F.struct("host", "domain", "suffix"), F.col("declared"), F.col("suffix"))]).first()
+    n_fine, n_code, n_suffix = (int(x or 0) for x in about)
     flat = f"transform(text_ll, (x, i) -> x + case when i = {k - 1} then {math.log(UNKNOWN_SHARE)} else {math.log((1 - UNKNOWN_SHARE) / (k - 1))} end)"
     soft = seen.withColumn("p", F.expr(f"transform({flat}, x -> x)")).withColumn("p", F.expr(_posterior("p"))).where("n_trigrams > 0")
     # Soft counts at the finest level; coarser levels are sums of them, so documents are aggregated once.
-    fine = cut(soft.groupBy("host", "domain", "suffix").agg(*_sums(k)))
+    fine = cut(soft.groupBy("host", "domain", "suffix").agg(*_sums(k)), n_fine)
     up = lambda *by: fine.groupBy(*by).agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(k)])
     totals = up().first()
     share = np.array([(totals[f"s{i}"] or 0.0) for i in range(k)]) + 1.0
@@ -165,10 +160,11 @@ def identify(
     by_domain = up("suffix", "domain").select("suffix", "domain", _array(k).alias("cd"))
     hosts = fine.select("host", "domain", "suffix", _array(k).alias("ch"))
     priors = hosts.join(by_domain, ["suffix", "domain"]).join(by_suffix, "suffix").withColumn("pd", smooth("cd", "ps")).withColumn("prior", smooth("ch", "pd")).select("host", "prior")
-    priors = cut(priors)
+    priors = cut(priors, n_fine)
+
     # ln P(code | language) of declared languages and of suffixes, one row a code; a code that no text backs is no evidence.
-    def with_evidence(df: DataFrame, column: str, name: str) -> DataFrame:
-        codes = cut(soft.where(F.col(column) != "").groupBy(column).agg(*_sums(k)))
+    def with_evidence(df: DataFrame, column: str, name: str, about: int) -> DataFrame:
+        codes = cut(soft.where(F.col(column) != "").groupBy(column).agg(*_sums(k)), about)
         row = codes.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(f"s{i}"), F.lit(0.0)).alias(f"s{i}") for i in range(k)]).first()
         logs = [F.log((F.col(f"s{i}") + TABLE_PRIOR) / (row[f"s{i}"] + TABLE_PRIOR * (row["n"] + 1))) for i in range(k)]
         side = small(codes.select(column, F.array(*logs).alias(name)), row["n"], BROADCAST_ROWS // 8)
@@ -176,25 +172,44 @@ def identify(
 
     n_hosts = priors.count()
     joined = seen.join(F.broadcast(priors) if n_hosts <= BROADCAST_ROWS // 8 else priors, "host", "left")
-    fused = with_evidence(with_evidence(joined.withColumn("prior", F.coalesce("prior", whole)), "declared", "dl"), "suffix", "sl")
+    fused = with_evidence(with_evidence(joined.withColumn("prior", F.coalesce("prior", whole)), "declared", "dl", n_code), "suffix", "sl", n_suffix)
     fused = fused.withColumn("logs", F.expr("transform(text_ll, (x, i) -> x + ln(prior[i]) + dl[i] + sl[i])")).withColumn("post", F.expr(_posterior("logs")))
     at = F.array_position("post", F.array_max("post")).cast("int")
     best = F.element_at(F.array(*map(F.lit, names)), at)
     return fused.select(
-        F.col(id_col), *[F.col(c) for c in keep or [] if c != id_col], best.alias("lang"), F.array_max("post").alias("posterior"),
+        *own, best.alias("lang"), F.array_max("post").alias("posterior"),
         ((F.col("n_trigrams") > 0) & (best != UNKNOWN) & (F.array_max("post") >= accept)).alias("accepted"), F.col("declared").alias("declared"), "n_trigrams",
     )
 
 
+def identify(
+    documents: DataFrame, *, id_col: str = "doc_id", text: Column | None = None, declared: Column | None = None, url: Column | None = None,
+    host: Column | None = None, languages: tuple[str, ...] = LANGUAGES, accept: float = ACCEPT, model: np.ndarray | None = None, keep: list[str] | None = None,
+) -> DataFrame:
+    """One row per document: the id, the `keep` columns, lang, posterior, accepted, declared and n_trigrams.
+
+    text, declared and url (or host) are expressions; a missing one is no evidence. Declared codes are cut at '-' or '_' and
+    lower-cased, the suffix is the host's last label, the domain its last two. A text without letters has no evidence of its
+    own and is never accepted; other documents are accepted if the posterior of their best language reaches `accept` and it
+    is a known one. Null texts count as empty; null hosts share the table's prior. Very long texts are read whole. Ties go to
+    the language named first. Repeated rows each give a row. An empty table gives none. Kept columns may have any name but
+    those of the result.
+    """
+    names = [id_col, *[c for c in keep or [] if c != id_col]]
+    found = _judged(documents, [F.col(c) for c in names], F.col("text") if text is None else text, declared, url, host, languages, accept, model)
+    return found.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(names)], "lang", "posterior", "accepted", "declared", "n_trigrams")
+
+
 def html_lang(html: Column) -> Column:
-    """The language that markup declares: the lang attribute of the html element."""
-    return F.regexp_extract(html, r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z_-]+)", 1)
+    """The language that markup declares: the lang attribute of the html element; empty if there is none, null for null."""
+    return F.regexp_extract(F.regexp_extract(html, r"(?i)<html\b([^>]*)", 1), r"(?i)\blang\s*=\s*[\"']?([A-Za-z_-]+)", 1)
 
 
 def html_text(html: Column) -> Column:
-    """Text of markup, good enough for letter statistics: without scripts, styles, comments and tags."""
-    bare = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ")
-    return F.regexp_replace(bare, r"<[^>]*>|&[A-Za-z0-9#]+;", " ")
+    """Text of markup, good enough for letter statistics: without scripts, styles, comments and tags. What is never closed
+    reaches to the end, so the time is in proportion to the page."""
+    bare = F.regexp_replace(html, r"(?is)<(script|style)\b.*?(?:</\1\s*>|\z)|<!--.*?(?:-->|\z)", " ")
+    return F.regexp_replace(bare, r"<[^>]*(?:>|\z)|&[A-Za-z0-9#]+;", " ")
 
 
 def of_documents(documents: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -203,12 +218,15 @@ def of_documents(documents: DataFrame, keep: list[str] | None = None) -> DataFra
 
 
 def accepted(documents: DataFrame) -> DataFrame:
-    """The documents whose language is told and known, all columns. The fused evidence depends on the text, the declared
-    language and the host alone, so rejected documents are told by their id; rows that share it go together."""
-    judged = of_documents(documents)
-    gone = cut(judged.where(~F.col("accepted")).select("doc_id").distinct())
-    n = gone.count()
-    named = small(gone.where("doc_id is not null"), n)
-    kept = documents.join(named, "doc_id", "left_anti").select(documents.columns)
-    # Rows without an id are kept unless they hold no letter at all.
-    return kept.where(F.col("doc_id").isNotNull() | F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}"))
+    """The documents whose language is told and known, all columns. The evidence is a row's text, declared language and host
+    alone, so rows are judged by these: rows that share an id or have none are documents like all others. Texts without
+    letters (null, empty) go; very long texts are read whole; repeated rows fare alike; an empty table stays empty. Columns
+    may have any name."""
+    spark = documents.sparkSession
+    point = mark()
+    given = [F.col("lang"), F.col("source"), F.col("text")]
+    key = F.unhex(F.md5(F.concat(*[F.coalesce(F.concat(F.char_length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in given])))
+    found = _judged(documents, [key], F.col("text"), F.col("lang"), None, F.col("source"), LANGUAGES, ACCEPT, None)
+    gone = cut(found.where("not accepted").select(F.col("k0").alias(KEY)).distinct())
+    drop_since(spark, point)
+    return documents.join(small(gone, gone.count(), BROADCAST_ROWS // 2), key == F.col(KEY), "left_anti")

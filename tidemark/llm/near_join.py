@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_ROWS, cut, pieces, small, text_batches, words_of
+from .common import BROADCAST_ROWS, cut, drop_since, mark, pieces, release, small, text_batches, text_key, trimmed, words_of
 from .graph import components
 
 #: Words of a shingle and least Jaccard similarity of a link.
@@ -32,15 +32,17 @@ VALUES, BAND = 128, 4
 STEP, TOLERANCE = 16, 1e-9
 #: Classes in a chunk of a component at least, and bytes of sets at most (about).
 CHUNK, CHUNK_BYTES = 128, 8 << 20
-#: Nodes that stand for classes whose documents have no id lie beyond this.
-NAMELESS = 1 << 62
+#: Names of the columns of ids and texts' keys in the table of rejected rows.
+ID, KEY = "__tidemark_id", "__tidemark_key"
+#: Words whose hashes a worker remembers.
+REMEMBERED = 100_000
 
 
 class WordHashes(dict):
     """Remembers the hashes of words; forgets all when it has grown large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > REMEMBERED:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -95,7 +97,7 @@ def _headers(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                     digests.append(hashlib.blake2b(items.tobytes(), digest_size=16).digest() if len(items) else None)
                     counts.append(len(items))
                     bands.append(band_keys(minhash(items, family)) if len(items) else None)
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "digest": pa.array(digests, pa.binary()), "n": pa.array(counts, pa.int64()), "bands": pa.array(bands, pa.list_(pa.int64()))})
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "key": batch.column("key"), "digest": pa.array(digests, pa.binary()), "n": pa.array(counts, pa.int64()), "bands": pa.array(bands, pa.list_(pa.int64()))})
 
     return run
 
@@ -183,31 +185,33 @@ CELL = T.StructType([T.StructField("node", T.LongType()), T.StructField("digest"
 def _cell(threshold: float, tolerance: float) -> Callable[[pa.Table], pa.Table]:
     least = least_matches(threshold, tolerance)
 
-    def pairs(rows: list[dict], own: list[int], other: list[int] | None) -> Iterator[tuple[int, int]]:
-        left, right = own, own if other is None else other
-        load = lambda side, c, kind: [np.frombuffer(rows[i][c], kind) for i in side]
-        sets_l, sets_r = load(left, "items", np.uint64), load(right, "items", np.uint64)
-        n_l, n_r = np.array([len(s) for s in sets_l]), np.array([len(s) for s in sets_r])
-        x, y = survivors(np.stack(load(left, "signature", np.uint32)), np.stack(load(right, "signature", np.uint32)), n_l, n_r, threshold, least)
-        if other is None:
-            x, y = x[x < y], y[x < y]
-        if not len(x):
-            return
-        ux, uy = np.unique(x), np.unique(y)
-        both = overlaps([sets_l[i] for i in ux], [sets_r[i] for i in uy])[np.searchsorted(ux, x), np.searchsorted(uy, y)].astype(np.float64)
-        ok = both * (1 + threshold) >= threshold * (n_l[x] + n_r[y]) - 1e-6
-        yield from zip([left[i] for i in x[ok]], [right[i] for i in y[ok]])
-
     def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
+        small_columns = {c: table.column(c).to_pylist() for c in ("root", "i", "j", "chunk", "node", "copies", "digest")}
+        root, first, second, chunk, node, copies, digest = small_columns.values()
+        # Sets and signatures stay in Arrow's memory; arrays look into it.
+        bytes_of = lambda c, k: np.frombuffer(table.column(c)[k].as_buffer(), np.uint64 if c == "items" else np.uint32)
+
+        def pairs(left: list[int], right: list[int], same: bool) -> Iterator[tuple[int, int]]:
+            sets_l, sets_r = [bytes_of("items", k) for k in left], [bytes_of("items", k) for k in right]
+            n_l, n_r = np.array([len(x) for x in sets_l]), np.array([len(x) for x in sets_r])
+            x, y = survivors(np.stack([bytes_of("signature", k) for k in left]), np.stack([bytes_of("signature", k) for k in right]), n_l, n_r, threshold, least)
+            if same:
+                x, y = x[x < y], y[x < y]
+            if not len(x):
+                return
+            ux, uy = np.unique(x), np.unique(y)
+            both = overlaps([sets_l[k] for k in ux], [sets_r[k] for k in uy])[np.searchsorted(ux, x), np.searchsorted(uy, y)].astype(np.float64)
+            ok = both * (1 + threshold) >= threshold * (n_l[x] + n_r[y]) - 1e-6
+            yield from zip([left[k] for k in x[ok]], [right[k] for k in y[ok]])
+
         cells: dict[tuple, dict[bytes, int]] = {}
-        for i, r in enumerate(rows):  # rows that repeat count once
-            cells.setdefault((r["root"], r["i"], r["j"]), {}).setdefault(r["digest"], i)
+        for k, cell in enumerate(zip(root, first, second)):  # rows that repeat count once
+            cells.setdefault(cell, {}).setdefault(digest[k], k)
         found = []
         for (_, i, j), members in cells.items():
-            own = [k for k in members.values() if rows[k]["chunk"] == i]
-            other = None if i == j else [k for k in members.values() if rows[k]["chunk"] == j]
-            if not own or other == []:
+            own = [k for k in members.values() if chunk[k] == i]
+            other = own if i == j else [k for k in members.values() if chunk[k] == j]
+            if not own or not other:
                 continue
             links: dict[int, int] = {}
             classes: dict[int, int] = {}
@@ -218,59 +222,55 @@ def _cell(threshold: float, tolerance: float) -> Callable[[pa.Table], pa.Table]:
                     head[k] = k = head.get(head[k], head[k])
                 return k
 
-            for a, b in pairs(rows, own, other):
+            for a, b in pairs(own, other, i == j):
                 for p, q in ((a, b), (b, a)):
-                    links[p] = links.get(p, 0) + rows[q]["copies"]
+                    links[p] = links.get(p, 0) + copies[q]
                     classes[p] = classes.get(p, 0) + 1
                 p, q = top(a), top(b)
                 if p != q:
-                    p, q = (p, q) if rows[p]["node"] <= rows[q]["node"] else (q, p)
+                    p, q = (p, q) if node[p] <= node[q] else (q, p)
                     head[q] = p
-            found += [(rows[k]["node"], rows[k]["digest"], links[k], classes[k], rows[top(k)]["node"]) for k in links]
+            found += [(node[k], digest[k], links[k], classes[k], node[top(k)]) for k in links]
         columns = list(zip(*found)) or [()] * 5
         kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+        release()
         return pa.table({f.name: pa.array(list(c), k) for f, c, k in zip(CELL.fields, columns, kinds)})
 
     return run
 
 
-def near_join(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """One row per document: doc_id, copy_id (least doc_id with the same shingle set), n_copies, n_links (other documents
-    at or above the threshold, copies included), n_class_links (other classes of copies linked to its own) and class_id
-    (least doc_id of its connected component).
-
-    Words are lower-cased (A-Z only) runs of digits, ASCII letters and non-ASCII characters. A text of fewer than `shingle`
-    words, but not none, is one shingle; a null, empty or wordless text links to nothing and is its own class. Rows with the
-    same doc_id are taken as one document: each gives a row, and all fall into one class. Documents with a null id link as
-    others do; a class of such documents alone has a null class_id. Further columns are not read. Shingles are compared by
-    64-bit hashes. No cap is set on partners or candidates.
-    """
+def _linked(documents: DataFrame, id_col: str, text_col: str, shingle: int, threshold: float, tolerance: float) -> tuple[DataFrame, DataFrame]:
+    """heads: doc_id, key (of the text), digest (of the shingle set, null without words) of each row. facts: for each digest,
+    rep and rep_key (of its first row, by id, null last, and key), copies, n_links, n_class_links, group (a component's
+    number) and first (whether it is its group's first class, by rep)."""
     spark = documents.sparkSession
     text_batches(spark)
-    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    heads = cut(docs.mapInArrow(_headers(shingle), T.StructType([docs.schema["doc_id"], T.StructField("digest", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])))
-    nameless = F.lit(NAMELESS) + F.shiftrightunsigned(F.xxhash64("digest"), 2)
-    classes = cut(
-        heads.where("digest is not null").groupBy("digest", "n", "bands").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-        .withColumn("node", F.coalesce("rep", nameless))
-    )
-    keys = classes.select("node", F.explode("bands").alias("key"))
-    leaders = cut(keys.groupBy("key").agg(F.min("node").alias("v"), F.count("*").alias("c")).where("c > 1").drop("c"))
-    drawn = keys.join(leaders, "key").select(F.col("node").alias("u"), "v")
-    parts = cut(components(drawn))
-    members = cut(classes.join(parts, "node").select("digest", "n", "rep", "copies", "node", "root"))
+    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col).alias("key"), F.col(text_col).cast("binary").alias("text"))
+    kind = T.StructType([docs.schema["doc_id"], T.StructField("key", T.BinaryType()), T.StructField("digest", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    heads = cut(docs.mapInArrow(trimmed(_headers(shingle)), kind))
+    point = mark()
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    classes = heads.where("digest is not null").groupBy("digest", "n", "bands").agg(F.min(order).alias("first"), F.count("*").alias("copies"))
+    # Classes get their numbers when they are written, so the numbers stay.
+    classes = cut(classes.select("digest", "n", "bands", F.col("first.doc_id").alias("rep"), F.col("first.key").alias("rep_key"), "copies", F.monotonically_increasing_id().alias("node")))
+    n_classes = classes.count()
+    n_keys = n_classes * VALUES // BAND
+    keys = classes.select("node", F.explode("bands").alias("band"))
+    leaders = cut(keys.groupBy("band").agg(F.min("node").alias("v"), F.count("*").alias("c")).where("c > 1").drop("c"), n_keys // 2)
+    parts = components(keys.join(leaders, "band").select(F.col("node").alias("u"), "v"), n_keys)
+    members = cut(classes.join(parts, "node").select("digest", "n", "rep", "copies", "node", "root"), n_classes)
+    n_members = members.count()
     sizes = members.groupBy("root").agg(F.count("*").alias("size"), F.sum("n").alias("items"))
     chunks = F.greatest(F.ceil(F.col("size") / F.greatest(F.lit(float(CHUNK)), 2.5 * F.sqrt("size"))), F.ceil(F.col("items") * 8 / CHUNK_BYTES)).cast("long")
-    sizes = cut(sizes.select("root", chunks.alias("chunks")))
-    members = cut(members.join(sizes, "root").withColumn("chunk", F.pmod(F.xxhash64("digest"), "chunks")))
-    n_members = members.count()
+    sizes = cut(sizes.select("root", chunks.alias("chunks")), n_members)
+    members = members.join(sizes, "root").withColumn("chunk", F.pmod(F.xxhash64("digest"), "chunks"))
     columns = ["node", "copies", "root", "chunk", "chunks"]
     named = docs.join(small(members.where("rep is not null").withColumnRenamed("rep", "doc_id"), n_members, BROADCAST_ROWS // 4), "doc_id").select("text", "digest", *columns)
     kinds = T.StructType([*(T.StructField(c, T.LongType()) for c in columns), *(T.StructField(c, T.BinaryType()) for c in ("digest", "items", "signature"))])
-    sets = named.mapInArrow(_sets(shingle), kinds)
+    sets = named.mapInArrow(trimmed(_sets(shingle)), kinds)
     if not members.where("rep is null").isEmpty():
         empty = docs.where("doc_id is null").select("text", F.lit(None).cast("binary").alias("digest"), *(F.lit(0).cast("long").alias(c) for c in columns))
-        unnamed = empty.mapInArrow(_sets(shingle), kinds).select("digest", "items", "signature")
+        unnamed = empty.mapInArrow(trimmed(_sets(shingle)), kinds).select("digest", "items", "signature")
         sets = sets.unionByName(unnamed.join(members.where("rep is null").select("digest", *columns), "digest"))
     buckets = max(1, n_members // CHUNK)
     dealt = (
@@ -280,31 +280,59 @@ def near_join(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     )
     found = cut(dealt.groupBy("cell").applyInArrow(_cell(threshold, tolerance), CELL))
     links = found.groupBy("digest").agg(F.sum("links").alias("links"), F.sum("class_links").alias("class_links"))
-    # Two rows of one id with different texts have one node, so their component is one too.
-    roots = components(found.select(F.col("node").alias("u"), F.col("to").alias("v")))
-    facts = classes.select("digest", "rep", "copies", "node").join(links, "digest", "left").join(cut(roots), "node", "left")
-    facts = cut(facts.select(
-        "digest", "rep", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("class_links", F.lit(0)).alias("n_class_links"), F.coalesce("root", "node").alias("root"),
-    ))
-    alone = F.col("digest").isNull()
-    out = heads.select("doc_id", "digest").where(~alone).join(facts, "digest").unionByName(
-        heads.select("doc_id", "digest").where(alone).withColumns({"rep": F.col("doc_id"), "copies": F.lit(1).cast("long"), "n_links": F.lit(0).cast("long"), "n_class_links": F.lit(0).cast("long"), "root": F.col("doc_id")})
+    roots = cut(components(found.select(F.col("node").alias("u"), F.col("to").alias("v")), n_members), n_members)
+    grouped = classes.select("rep", "node").join(roots, "node")
+    lead = grouped.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "node")).alias("least")).select(F.col("root").alias("group"), F.col("least.rep").alias("class_id"), F.col("least.node").alias("head"))
+    facts = classes.select("digest", "rep", "rep_key", "copies", "node").join(links, "digest", "left").join(roots, "node", "left")
+    facts = facts.join(lead, F.col("root") == F.col("group"), "left").select(
+        "digest", "rep", "rep_key", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("class_links", F.lit(0)).alias("n_class_links"),
+        F.when(F.col("group").isNull(), F.col("rep")).otherwise(F.col("class_id")).alias("class_id"), (F.col("group").isNull() | (F.col("node") == F.col("head"))).alias("first"),
+    )
+    facts = cut(facts, n_classes)
+    drop_since(spark, point)
+    return heads, facts
+
+
+def near_join(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+    """One row per document: doc_id, copy_id (least doc_id with the same shingle set), n_copies, n_links (other documents
+    at or above the threshold, copies included), n_class_links (other classes of copies linked to its own) and class_id
+    (least doc_id of its connected component).
+
+    Words are lower-cased (A-Z only) runs of digits, ASCII letters and non-ASCII characters. A text of fewer than `shingle`
+    words, but not none, is one shingle; a null, empty or wordless text links to nothing and is its own class. Every row is a
+    document of its own, also where rows share an id or have none; a class of rows without ids alone has a null class_id.
+    Further columns are not read, so they may have any name. Very long texts are compared whole; an empty table gives no
+    rows. Shingles are compared by 64-bit hashes. No cap is set on partners or candidates.
+    """
+    heads, facts = _linked(documents, id_col, text_col, shingle, threshold, tolerance)
+    out = heads.where("digest is not null").select("doc_id", "digest").join(facts, "digest")
+    alone, zero = heads.where("digest is null").select("doc_id"), F.lit(0).cast("long")
+    return out.select("doc_id", F.col("rep").alias("copy_id"), F.col("copies").alias("n_copies"), "n_links", "n_class_links", "class_id").unionByName(
+        alone.select("doc_id", F.col("doc_id").alias("copy_id"), F.lit(1).cast("long").alias("n_copies"), zero.alias("n_links"), zero.alias("n_class_links"), F.col("doc_id").alias("class_id"))
     )
-    return out.select("doc_id", F.col("rep").alias("copy_id"), F.col("copies").alias("n_copies"), "n_links", "n_class_links", F.when(F.col("root") < NAMELESS, F.col("root")).alias("class_id"))
-
-
-def keep_one(documents: DataFrame, **options: object) -> DataFrame:
-    """The document with the least id of each class, all columns; of rows that share that id, one. Rows with a null id, which
-    cannot be told from each other, all stay."""
-    id_col = str(options.get("id_col", "doc_id"))
-    found = near_join(documents, **options)  # type: ignore[arg-type]
-    found = cut(found.select("doc_id", "class_id"))
-    kept = documents
-    gone = cut(found.where("doc_id <> class_id").select(F.col("doc_id").alias(id_col)).distinct())
-    kept = kept.join(small(gone, gone.count()), id_col, "left_anti").select(documents.columns)
-    twice = cut(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select(F.col("doc_id").alias(id_col)))
-    n = twice.count()
-    if n:
-        side = small(twice, n)
-        kept = kept.join(side, id_col, "left_anti").select(documents.columns).unionByName(kept.join(side, id_col, "left_semi").select(documents.columns).dropDuplicates([id_col]))
-    return kept
+
+
+def keep_one(
+    documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD, tolerance: float = TOLERANCE
+) -> DataFrame:
+    """One document of each class, all columns: the one with the least id, null ids last. Rows are judged by id and text, so
+    rows that share an id or have none are documents like all others; of rows equal in both, one stays. Null, empty and
+    wordless texts are near to nothing and stay; very long texts are compared whole; an empty table stays empty. Columns may
+    have any name."""
+    spark = documents.sparkSession
+    point = mark()
+    heads, facts = _linked(documents, id_col, text_col, shingle, threshold, tolerance)
+    held = facts.where("copies > 1 or not first").select("digest", "first", "rep", "rep_key")
+    stays = F.col("first") & F.col("doc_id").eqNullSafe(F.col("rep")) & F.col("key").eqNullSafe(F.col("rep_key"))
+    rows = heads.select("doc_id", "key", "digest").join(held, "digest").select(F.col("doc_id").alias(ID), F.col("key").alias(KEY), stays.alias("__stays"))
+    judged = cut(rows.groupBy(ID, KEY, "__stays").agg(F.count("*").alias("__n")))
+    drop_since(spark, point)
+    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(ID)) & text_key(text_col).eqNullSafe(F.col(KEY))
+    gone, twice = judged.where("not __stays").select(ID, KEY), judged.where("__stays and __n > 1").select(ID, KEY)
+    kept = documents.join(small(gone, gone.count(), BROADCAST_ROWS // 2), same, "left_anti")
+    n_twice = twice.count()
+    if not n_twice:
+        return kept
+    side = small(twice, n_twice, BROADCAST_ROWS // 2)
+    one = kept.join(side, same, "left_semi").withColumns({ID: F.col(f"`{id_col}`").cast("long"), KEY: text_key(text_col)}).dropDuplicates([ID, KEY]).drop(ID, KEY)
+    return kept.join(side, same, "left_anti").unionByName(one)
