@@ -65,14 +65,15 @@ class ItemKNNModel(ModelBase):
         sums = left.join(right, Columns.User).where(F.col(Columns.TargetItem) <= F.col(Columns.Item)).groupBy(Columns.TargetItem, Columns.Item).agg(F.sum(F.col("a") * F.col("b")).alias(Columns.Score)).where(F.col(Columns.Score) != 0)
         one, two = F.struct(Columns.TargetItem, Columns.Item, Columns.Score), F.struct(F.col(Columns.Item).alias(Columns.TargetItem), F.col(Columns.TargetItem).alias(Columns.Item), Columns.Score)
         similar = sums.select(F.inline(F.when(F.col(Columns.TargetItem) == F.col(Columns.Item), F.array(one)).otherwise(F.array(one, two))))
-        # Scores are compared to 12 digits, so that the order of summation cannot decide a tie.
-        best = Window.partitionBy(Columns.TargetItem).orderBy(F.round(Columns.Score, 12).desc(), F.col(Columns.Item).desc())
+        # Scores have 12 digits, so that the order of summation cannot decide a tie.
+        similar = similar.withColumn(Columns.Score, F.round(Columns.Score, 12))
+        best = Window.partitionBy(Columns.TargetItem).orderBy(F.col(Columns.Score).desc(), F.col(Columns.Item).desc())
         self.tables = {"similar": similar.withColumn("__r", F.row_number().over(best)).where(F.col("__r") <= self.K).drop("__r"), "matrix": user_item_matrix(dataset.raw)}
 
     def _u2i(self, users: DataFrame, dataset: Dataset, k: int, filter_viewed: bool, items: DataFrame | None) -> DataFrame:
         rows = user_item_matrix(dataset.raw.join(users, Columns.User, "left_semi"))
         left = rows.select(Columns.User, F.col(Columns.Item).alias(Columns.TargetItem), Columns.Weight)
-        reco = left.join(self.tables["similar"], Columns.TargetItem).groupBy(*Columns.UserItem).agg(F.sum(F.col(Columns.Weight) * F.col(Columns.Score)).alias(Columns.Score))
+        reco = left.join(self.tables["similar"], Columns.TargetItem).groupBy(*Columns.UserItem).agg(F.round(F.sum(F.col(Columns.Weight) * F.col(Columns.Score)), 9).alias(Columns.Score))
         return scored(reco.where(F.col(Columns.Score) != 0), users, dataset, filter_viewed, items)
 
     def _i2i(self, targets: DataFrame, dataset: Dataset, k: int, items: DataFrame | None) -> DataFrame:

@@ -143,7 +143,7 @@ class RandomModel(ModelBase):
         n = pool.count()
         if n == 0:
             return targets.where(F.lit(False)).select(column, F.lit(None).cast(pool.schema[0].dataType).alias(Columns.Item), F.lit(0.0).alias(Columns.Score), F.lit(0).alias(Columns.Rank))
-        numbered = places(pool.withColumn(Columns.Score, F.lit(0.0)), False, None) if n <= SHORT_LIST else dense_index(pool.withColumn("z", md5_long(Columns.Item) / 2**30), "z", [Columns.Item], "place", 1)
+        numbered = places(pool.withColumn(Columns.Score, F.lit(0.0)), False, None) if n <= SHORT_LIST else dense_index(pool.withColumn("z", F.shiftright(md5_long(Columns.Item), 30)), "z", [Columns.Item], "place", 1)
         numbered = small(numbered.select(Columns.Item, F.col("place").cast("long").alias("place")))
         p = next(x for x in range(n, 2 * n + 3) if x > 1 and all(x % d for d in range(2, int(x**0.5) + 1)))
         seed, call = F.lit(self.random_state or 0), F.lit(self.calls)

@@ -99,6 +99,12 @@ class VectorRanker:
                         # Rounding comes before the choice, so ties in other blocks are ties here.
                         row = np.round(row, 12)
                         least = np.partition(row, -n)[-n]
+                        if distance is Distance.EUCLIDEAN:
+                            # Products lose small distances in rounding: whatever may be among the nearest is measured anew.
+                            near = np.flatnonzero(row >= least - 1e-6 * (1 + np.abs(q[lo + i]).max(initial=0) * width))
+                            row[near] = -np.round(np.sqrt(((c[near] - q[lo + i]) ** 2).sum(1)), 12)
+                            row[gone] = -np.inf
+                            least = np.partition(row[near], -n)[-n]
                         at = np.flatnonzero(row >= least)
                         at = at[np.argsort(-row[at], kind="stable")][:n]
                         found[0].extend([name] * n)

@@ -250,10 +250,10 @@ def log_at_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""with {INTER}, edge as (select date_trunc('day', max(datetime)) + interval 1 day as hi from inter), folds as (select i, hi - to_days((2 - i) * 14) as lo, hi - to_days((1 - i) * 14) as up from edge, range(2) t(i)),
-    tr as (select i, user_id, item_id from inter, folds where datetime < lo),
-    te as (select f.i, x.* from inter x, folds f where datetime >= lo and datetime < up)
-    select i::int as i_split, user_id, item_id, weight, datetime from te where exists (select 1 from tr where tr.i = te.i and tr.user_id = te.user_id)
-      and exists (select 1 from tr where tr.i = te.i and tr.item_id = te.item_id) and not exists (select 1 from tr where tr.i = te.i and tr.user_id = te.user_id and tr.item_id = te.item_id)"""
+    tr as materialized (select distinct i, user_id, item_id from inter, folds where datetime < lo),
+    te as materialized (select f.i, x.* from inter x, folds f where datetime >= lo and datetime < up)
+    select i::int as i_split, user_id, item_id, weight, datetime from te semi join (select distinct i, user_id from tr) using (i, user_id) semi join (select distinct i, item_id from tr) using (i, item_id)
+      anti join tr using (i, user_id, item_id)"""
 )
 def time_range_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     folds = list(TimeRangeSplitter("14D", 2).split(interactions(spark, sf_dir)))
@@ -271,9 +271,8 @@ def split_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""with {INTER}, r as (select *, row_number() over (partition by user_id order by datetime desc, rid desc, item_id desc, weight desc) as last from inter),
-    tr as (select * from r where last > 3), te as (select * from r where last <= 3)
-    select user_id, item_id, weight, datetime from te where user_id in (select user_id from tr) and item_id in (select item_id from tr)
-      and not exists (select 1 from tr where tr.user_id = te.user_id and tr.item_id = te.item_id)"""
+    tr as materialized (select distinct user_id, item_id from r where last > 3), te as materialized (select * from r where last <= 3)
+    select user_id, item_id, weight, datetime from te semi join tr using (user_id) semi join (select distinct item_id from tr) using (item_id) anti join tr using (user_id, item_id)"""
 )
 def last_n_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return next(iter(LastNSplitter(3).split(interactions(spark, sf_dir)))).test.select(*Columns.Interactions)
@@ -377,7 +376,15 @@ for _name, _order in (("rotate", "nr, priority"), ("group", "priority, cr")):
     SQL[f"popular_in_category_{_name}"] = CATEGORY_SQL.format(_order)
 
 
-@query()
+@query(
+    f"""with {INTER}, pool as (select item_id, row_number() over (order by item_id) as place from (select distinct item_id from inter)), n as (select count(*) as n from pool),
+    p as (select n, min(x) as p from n, lateral (select unnest(range(n, 2 * n + 3)) as x) where x > 1 and not list_bool_or(list_transform(range(2, sqrt(x)::bigint + 1), lambda d: x % d = 0 and d < x)) group by n),
+    own as (select user_id, n, p, {MD5.format("concat_ws('|', 1, 0, 'a', user_id)")} % (p - 1) + 1 as a, {MD5.format("concat_ws('|', 1, 0, 'b', user_id)")} % p as b from (select distinct user_id from inter), p),
+    drawn as (select user_id, n, i, (i * a + b) % p + 1 as place from own, lateral (select unnest(range(p)) as i)),
+    free as (select d.user_id, item_id, row_number() over (partition by d.user_id order by i) as rank from drawn d join pool using (place) anti join inter s on s.user_id = d.user_id and s.item_id = pool.item_id),
+    kept as (select * from free where rank <= 10)
+    select user_id, item_id, (count(*) over (partition by user_id) - rank + 1)::float as score, rank::int as rank from kept"""
+)
 def random_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     ds = Dataset.construct(interactions(spark, sf_dir))
     return O.RandomModel(random_state=1).fit(ds).recommend(ds.hot(Columns.User), ds, 10, True, on_unsupported_targets="ignore")
@@ -404,21 +411,17 @@ def _knn_sql(weighting: str) -> str:
 def _knn_reco_sql(weighting: str) -> str:
     return (
         _knn_sql(weighting)
-        + """, r as (select m.user_id, k.item_id, sum(m.x * k.s) as score from m join k on m.item_id = k.t group by 1, 2),
-    f as (select * from r where not exists (select 1 from m where m.user_id = r.user_id and m.item_id = r.item_id))
-    select user_id, rank, round(score, 4) as score from (select *, row_number() over (partition by user_id order by score desc, item_id)::int as rank from f) where rank <= 10"""
+        + """, r as (select m.user_id, k.item_id, round(sum(m.x * round(k.s, 12)), 9) as score from m join k on m.item_id = k.t group by 1, 2),
+    f as (select * from r where score <> 0 and not exists (select 1 from m where m.user_id = r.user_id and m.item_id = r.item_id))
+    select user_id, item_id, rank, round(score::float::double, 4) as score from (select *, row_number() over (partition by user_id order by score desc, item_id)::int as rank from f) where rank <= 10"""
     )
 
 
 def _knn(weighting: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ds = Dataset.construct(interactions(spark, sf_dir))
-        model = O.ItemKNNModel(weighting, K=20)
-        model.fit(ds)
-        # Scores before they become floats; sums differ in their last digits between engines, so the items that they might
-        # swap are left out.
-        reco = with_rank(model._u2i(ds.hot(Columns.User), ds, 10, True, None), Columns.User, 10)
-        return reco.select(Columns.User, Columns.Rank, F.round(Columns.Score, 4).alias(Columns.Score))
+        reco = O.ItemKNNModel(weighting, K=20).fit(ds).recommend(ds.hot(Columns.User), ds, 10, True, on_unsupported_targets="ignore")
+        return reco.select(*Columns.UserItem, Columns.Rank, F.round(F.col(Columns.Score).cast("double"), 4).alias(Columns.Score))
 
     return run
 
@@ -428,19 +431,22 @@ for _name in ("plain", "cosine", "tfidf", "bm25"):
     SQL[f"item_knn_{_name}"] = _knn_reco_sql(_name)
 
 
-@query(_knn_sql("tfidf") + " select t as target_item_id, r::int as rank, round(s, 4) as score from (select t, s, row_number() over (partition by t order by s desc, item_id) as r from k where t <> item_id) where r <= 5")
+@query(
+    _knn_sql("tfidf")
+    + """ select t as target_item_id, item_id, r::int as rank, round(s::float::double, 6) as score from (select t, item_id, round(s, 12) as s, row_number() over (partition by t order by round(s, 12) desc, item_id) as r from k where t <> item_id)
+    where r <= 5"""
+)
 def item_knn_i2i(spark: SparkSession, sf_dir: str) -> DataFrame:
     ds = Dataset.construct(interactions(spark, sf_dir))
     reco = O.ItemKNNModel("tfidf", K=20).fit(ds).recommend_to_items(ds.hot(Columns.Item), ds, 5, on_unsupported_targets="ignore")
-    return reco.select(Columns.TargetItem, Columns.Rank, F.round(F.col(Columns.Score).cast("double"), 4).alias(Columns.Score))
+    return reco.select(Columns.TargetItem, Columns.Item, Columns.Rank, F.round(F.col(Columns.Score).cast("double"), 6).alias(Columns.Score))
 
 
-@query(_knn_sql("cosine") + " select t as target_item_id, r::int as rank, round(s, 6) as score from k")
+@query(_knn_sql("cosine") + " select t as target_item_id, item_id, row_number() over (partition by t order by round(s, 12) desc, item_id)::int as rank, round(s, 6) as score from k")
 def item_knn_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     ds = Dataset.construct(interactions(spark, sf_dir))
     model = O.ItemKNNModel("cosine", K=20).fit(ds)
-    similar = model.tables["similar"].withColumn(Columns.Score, F.round(Columns.Score, 12))
-    return with_rank(similar, Columns.TargetItem).select(Columns.TargetItem, Columns.Rank, F.round(Columns.Score, 6).alias(Columns.Score))
+    return with_rank(model.tables["similar"], Columns.TargetItem).select(Columns.TargetItem, Columns.Item, Columns.Rank, F.round(Columns.Score, 6).alias(Columns.Score))
 
 
 def _fitted(make: Callable[[], O.ModelBase]) -> Query:
@@ -510,14 +516,14 @@ def _rank_sql(distance: str) -> str:
     best = "asc" if distance == "euclidean" else "desc"
     return f"""with e as (select vec_id, unnest(range(len(embedding))) as i, unnest(embedding)::double as x, sqrt(list_sum(list_transform(embedding, lambda y: y::double * y::double))) as n from embeddings),
     s as (select a.vec_id as subject, b.vec_id as object, {score} as score from e a join e b using (i) where a.vec_id <> b.vec_id group by 1, 2)
-    select subject, rank, round(score, 6) as score from (select *, row_number() over (partition by subject order by score {best}, object)::int as rank from s) where rank <= 10"""
+    select subject, object, rank, round(score, 6) as score from (select *, row_number() over (partition by subject order by round(score, 12) {best}, object)::int as rank from s) where rank <= 10"""
 
 
 def _ranker(distance: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("factors"))
         reco = VectorRanker(distance, vectors, vectors).rank(10, exclude_self=True, as_float=False)
-        return reco.select("subject", "rank", F.round("score", 6).alias("score"))
+        return reco.select("subject", "object", "rank", F.round("score", 6).alias("score"))
 
     return run
 
@@ -528,7 +534,7 @@ for _name in ("dot", "cosine", "euclidean"):
 
 
 @query(
-    _rank_sql("cosine").split("select subject, rank, round")[0].replace(" where a.vec_id <> b.vec_id", "").rstrip()
+    _rank_sql("cosine").split("select subject, object, rank, round")[0].replace(" where a.vec_id <> b.vec_id", "").rstrip()
     + """, near as (select subject, object, row_number() over (partition by subject order by round(score, 12) desc, object) as r from s)
     select subject as target, row_number() over (partition by subject order by r)::int as rank, object as item_id from near where r <= 16 and object % 2 = 1 and subject % 2 = 0 qualify rank <= 5"""
 )
@@ -715,7 +721,42 @@ def debiased_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric_table({"recall": M.Recall(10, debias_config=M.DebiasConfig(0.5, 3))}, reco, test).select(F.round("value", 9).alias("recall"))
 
 
-@query()
+def _all_metrics_sql() -> str:
+    """Every metric at 1, 5 and 10: a table a family with a row a k, then one row a metric."""
+    gain = "(select sum(1 / log2(r + 1)) from range(1, 11) t(r) where r <= k)"
+    families = {
+        "cls": ("prec", "recall", "f1", "acc", "mcc", "hit"), "rk": ("map", "ndcg", "mrr"), "auc": ("pauc", "pap"), "byd": ("miuf", "arp", "ser", "suff", "unrep"), "cat": ("cov",), "usr": ("users",),
+    }
+    rows = [f"select '{n}@' || k as metric, round({n}::double, 6) as value from {t}" for t, names in families.items() for n in names]
+    return f"""with {FOLD}{MERGED}, ks(k) as (values (1), (5), (10)),
+    conf as (select k, user_id, count(case when rank <= k then 1 end)::double as tp, count(*)::double as liked from merged, ks group by 1, 2),
+    c as (select *, k - tp as fp, liked - tp as fn, n - k - (liked - tp) as tn from conf, catalog),
+    cls as (select k, avg(tp / k) as prec, avg(tp / liked) as recall, avg(case when tp > 0 then 2 * (tp / k) * (tp / liked) / (tp / k + tp / liked) else 0 end) as f1, avg((tp + tn) / n) as acc, avg((tp > 0)::double) as hit,
+      avg(case when (tp + fp) * (tp + fn) * (tn + fp) * (tn + fn) <> 0 then (tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)) else 0 end) as mcc from c group by 1),
+    cnt as (select user_id, rank, count(*) as c from merged where rank is not null group by 1, 2), run as (select *, sum(c) over (partition by user_id order by rank) as s from cnt),
+    liked as (select user_id, count(*)::double as n from merged group by 1),
+    v as (select k, user_id, sum(s / rank) as ap, sum(c / log2(rank + 1)) as dcg, min(rank) as mr from run, ks where rank <= k group by 1, 2),
+    rk as (select k, avg(coalesce(ap, 0) / n) as map, avg(coalesce(dcg, 0)) / {gain} as ndcg, avg(coalesce(1.0 / mr, 0)) as mrr from (select * from liked, ks) left join v using (k, user_id) group by 1),
+    pos as (select distinct user_id, item_id from test),
+    h as (select p.user_id, o.rank, row_number() over (partition by p.user_id order by o.rank) as i from pos p join reco o on p.user_id = o.user_id and p.item_id = o.item_id),
+    a as (select k, user_id, sum(case when rank - i < k then k - (rank - i) else 0 end) as a, sum(case when rank - i < k and i <= k then k - (rank - i) else 0 end) as b from h, ks group by 1, 2),
+    auc as (select k, avg(coalesce(a, 0) / (k * n)) as pauc, avg(coalesce(b, 0) / (k * least(n, k))) as pap from (select * from (select user_id, count(*)::double as n from pos group by 1), ks) left join a using (k, user_id) group by 1),
+    pop as (select item_id, count(*) as c, count(distinct user_id) as u from train group by 1), lev as (select c, row_number() over (order by c desc) as r from (select distinct c from pop)),
+    tot as (select count(distinct user_id) as nu, count(distinct item_id)::double as ni from train),
+    e as (select r.user_id, r.item_id, r.rank, p.c, p.u, l.r as pr, nu, ni, (t.user_id is not null)::int as rel from reco r left join pop p using (item_id) left join lev l using (c) left join pos t on t.user_id = r.user_id and t.item_id = r.item_id, tot),
+    each as (select k, user_id, avg(-log2(coalesce(u, 1)::double / nu)) as miuf, avg(coalesce(c, 0)) as arp, sum(greatest((ni + 1 - rank) / ni - coalesce((ni + 1 - pr) / ni, 0), 0) * rel) / k as ser,
+      (count(*) >= k)::double as suff, (count(*) = count(distinct item_id))::double as unrep from e, ks where rank <= k group by 1, 2),
+    byd as (select k, avg(miuf) as miuf, avg(arp) as arp, avg(ser) as ser, avg(suff) as suff, avg(unrep) as unrep from each group by 1),
+    cat as (select k, count(distinct item_id) as cov from reco, ks where rank <= k group by 1),
+    usr as (select k, avg((r.user_id is not null)::double) as users from (select * from (select distinct user_id from test), ks) t left join (select distinct user_id, k from reco, ks where rank <= k) r using (k, user_id) group by 1),
+    f as (select p_partkey, p_brand as a, p_type as b, p_size as c from part),
+    pairs as (select x.user_id, (f.a <> g.a)::int + (f.b <> g.b)::int + (f.c <> g.c)::int as d from reco x join reco y on x.user_id = y.user_id and x.rank < y.rank join f on f.p_partkey = x.item_id join f g on g.p_partkey = y.item_id)
+    {' union all '.join(rows)}
+    union all select 'ild@10', round(avg(ild), 6) from (select u.user_id, coalesce(avg(d), 0) as ild from (select distinct user_id from reco) u left join pairs using (user_id) group by 1)
+    union all select 'same@10', round(avg(same), 6) from (select user_id, count(case when rank <= 5 then 1 end)::double / count(*) as same from reco group by 1)"""
+
+
+@query(_all_metrics_sql())
 def all_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every metric in one batch: the planner's fused tables."""
     train, test, reco = fold(spark, sf_dir)
@@ -731,14 +772,18 @@ def all_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Validation, two stages, reports, streams.
 
 
-@query(
-    f"""with {FOLD.replace('interval 28 day', 'interval 14 day')} select 'popular' as model, 1 as i_split, 'recall' as metric, round(avg(tp / n), 9) as value
-    from (select t.user_id, count(r.rank)::double as tp, count(*) as n from test t left join reco r on t.user_id = r.user_id and t.item_id = r.item_id group by 1)"""
-)
+def _fold_recall_sql(i: int) -> str:
+    """One of two folds of 14 days."""
+    fold_sql = FOLD.replace("interval 28 day", "interval 14 day").replace("+ interval 1 day as hi", f"+ interval 1 day - interval {14 * (1 - i)} day as hi")
+    return f"""(with {fold_sql} select 'popular' as model, {i} as i_split, 'recall' as metric, round(avg(tp / n), 9) as value
+    from (select t.user_id, count(r.rank)::double as tp, count(*) as n from test t left join reco r on t.user_id = r.user_id and t.item_id = r.item_id group by 1))"""
+
+
+@query(f"select * from {_fold_recall_sql(0)} union all select * from {_fold_recall_sql(1)}")
 def cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     ds = Dataset.construct(interactions(spark, sf_dir))
     found = cross_validate_table(ds, TimeRangeSplitter("14D", 2), {"recall": M.Recall(10)}, {"popular": O.PopularModel()}, 10, True, on_unsupported_targets="ignore")
-    return found.where(F.col(Columns.Split) == 1).select(Columns.Model, Columns.Split, "metric", F.round("value", 9).alias("value"))
+    return found.select(Columns.Model, Columns.Split, "metric", F.round("value", 9).alias("value"))
 
 
 class _Features(CandidateFeatureCollector):
