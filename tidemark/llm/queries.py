@@ -114,5 +114,25 @@ from d left join hits using (r) left join items using (r)
 """
 
 
+#: Classes of equal shingle sets, their exact links by counting shared shingles, and components by spreading the least id.
+NEAR_SQL = f"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents),
+g as materialized (select doc_id, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - {near_join.SHINGLE - 1}, 1) + 1), lambda i: array_to_string(w[i : i + {near_join.SHINGLE - 1}], ' ')))) as g from w where len(w) > 0),
+k as materialized (select doc_id, g, md5(array_to_string(g, '|')) as d from g),
+classes as materialized (select d, any_value(g) as g, min(doc_id) as rep, count(*) as copies, len(any_value(g)) as n from k group by d),
+cells as materialized (select d, n, unnest(g) as x from classes),
+edges as materialized (select a.d as a, b.d as b from cells a join cells b on a.x = b.x and a.d <> b.d and least(a.n, b.n) >= {near_join.THRESHOLD} * greatest(a.n, b.n) - 1e-9
+  group by a.d, b.d having count(*) * (1 + {near_join.THRESHOLD}) >= {near_join.THRESHOLD} * (any_value(a.n) + any_value(b.n)) - 1e-6),
+reach(d, root) as (select d, rep from classes union select e.b, r.root from reach r join edges e on e.a = r.d),
+roots as (select d, min(root) as class_id from reach group by d),
+links as (select a as d, count(*) as classes, sum(copies) as docs from edges join classes c on c.d = b group by a)
+select k.doc_id, c.rep as copy_id, c.copies as n_copies, cast(coalesce(l.docs, 0) + c.copies - 1 as bigint) as n_links, coalesce(l.classes, 0)::bigint as n_class_links, r.class_id
+from k join classes c using (d) join roots r using (d) left join links l using (d)
+union all select doc_id, doc_id, 1, 0, 0, doc_id from w where len(w) = 0
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk": TOPK_SQL, "op2_license_scan": license_scan.oracle_sql(), "op3_line_dedup": line_dedup.ORACLE_SQL, "op5_decontaminate": DECONTAMINATE_SQL}
+    return {
+        "op1_topk": TOPK_SQL, "op2_license_scan": license_scan.oracle_sql(), "op3_line_dedup": line_dedup.ORACLE_SQL, "op5_decontaminate": DECONTAMINATE_SQL, "op10_near_join": NEAR_SQL,
+    }
