@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterable
 
@@ -16,9 +17,12 @@ RANGE_BITS = 20
 
 
 def checkpoint_dir(spark: SparkSession) -> None:
-    """Uses spark.checkpoint.dir; sets a folder of its own only where none is set (tests)."""
+    """Uses spark.checkpoint.dir. Sets a folder of its own only in local mode (tests), where there are no other machines;
+    elsewhere the setting must be given."""
     sc = spark.sparkContext
     if not (spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
+        if not re.match(r"local(\[|$)", sc.master or ""):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
 
 

@@ -13,7 +13,7 @@ from enum import Enum
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.runtime import BROADCAST_ROWS, dense_index, md5_long, small
+from tidemark.functions.runtime import BROADCAST_ROWS, cut, dense_index, md5_long, small
 from tidemark.schema import Columns
 from tidemark.sources.dataset import Dataset
 
@@ -102,7 +102,7 @@ class PopularModel(ModelBase):
         if not filter_viewed:
             return self._cold(users, Columns.User, dataset, k, items)
         history = dataset.raw.join(users, Columns.User, "left_semi").select(*Columns.UserItem)
-        scores = self._scores(items).persist()
+        scores = cut(self._scores(items))
         n, length = scores.count(), None
         if n > SHORT_LIST:
             # No user needs places beyond k + (items he viewed).
@@ -257,7 +257,7 @@ class PopularInCategoryModel(ModelBase):
         key = F.struct(F.col(column), F.col("category"))
         asked = by_category.withColumn("key", key)
         if history is not None:
-            listed = listed.persist()
+            listed = cut(listed)
             n = listed.count()
             if n > SHORT_LIST:
                 most = history.groupBy(column).agg(F.count("*").alias("c")).agg(F.coalesce(F.max("c"), F.lit(0))).first()[0]

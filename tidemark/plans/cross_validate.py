@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.runtime import cut
 from tidemark.operators.metrics.base import MetricAtK
 from tidemark.operators.models.base import ModelBase
 from tidemark.operators.splits import Splitter
@@ -21,14 +22,14 @@ def cross_validate_table(
     dataset: Dataset, splitter: Splitter, metrics: dict[str, MetricAtK], models: dict[str, ModelBase], k: int, filter_viewed: bool, items_to_recommend: DataFrame | Iterable | None = None,
     ref_models: Iterable[str] | None = None, validate_ref_models: bool = False, on_unsupported_targets: str = "warn", prefer_warm_inference_over_cold: bool = True,
 ) -> DataFrame:
-    """model, i_split, metric, value, lazily. Fold tables and recommendations, which several metric families read, are
-    persisted; catalog and popularity come from the fold's train rows. Users and items without train rows keep their features,
+    """model, i_split, metric, value. Fold tables and recommendations, which models and metrics read several times, are written
+    as checkpoints, which go when nothing refers to them; catalog and popularity come from the fold's train rows. Users and items without train rows keep their features,
     and so are warm, unless prefer_warm_inference_over_cold is off."""
     refs = list(ref_models or [])
     parts = []
     for fold in splitter.split(dataset):
         i = fold.info[Columns.Split]
-        train, test = fold.train.persist(), fold.test.select(*dataset.raw.columns).persist()
+        train, test = cut(fold.train), cut(fold.test.select(*dataset.raw.columns))
         own = dataset.with_interactions(train, prefer_warm_inference_over_cold)
         catalog = train.select(Columns.Item).distinct().count()
         users = test.select(Columns.User).distinct()
@@ -36,7 +37,7 @@ def cross_validate_table(
         recos = {}
         for name, model in models.items():
             model.fit(own)
-            recos[name] = model.recommend(users, own, k, filter_viewed, items_to_recommend, on_unsupported_targets=on_unsupported_targets, context=context).persist()
+            recos[name] = cut(model.recommend(users, own, k, filter_viewed, items_to_recommend, on_unsupported_targets=on_unsupported_targets, context=context))
         ref_reco = {n: recos[n] for n in refs} or None
         for name, reco in recos.items():
             if name in refs and not validate_ref_models:

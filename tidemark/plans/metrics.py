@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.runtime import small, table_of
+from tidemark.functions.runtime import cut, small, table_of
 from tidemark.operators.metrics import kinds as M
 from tidemark.operators.metrics.base import DebiasConfig, MetricAtK, auc_lists, check_reco, debias_interactions, hit_lists, hit_lists_of
 from tidemark.schema import Columns
@@ -216,13 +216,25 @@ def calc_per_user(metrics: Metrics, reco: DataFrame, interactions: DataFrame | N
     return reduce(lambda a, b: a.join(b, Columns.User, "full_outer"), found)
 
 
+def family(metric: MetricAtK) -> type:
+    """The kind of table that a metric's values come from: metrics of one family share it."""
+    kinds = (M.HitMetric, M.AUCMetric, M.IntraListDiversity, M.CoveredUsers, M.Intersection, M.CatalogCoverage)
+    return next((k for k in kinds if isinstance(metric, k)), MetricAtK)
+
+
 def metric_table(metrics: Metrics, reco: DataFrame, interactions: DataFrame | None = None, prev_interactions: DataFrame | None = None, catalog: object = None, ref_reco: object = None) -> DataFrame:
-    """Lazy table metric, value."""
+    """Table metric, value. A batch of several families reads its inputs several times, so their narrow tables are written
+    once (checkpoints); the rest is lazy."""
     for n, m in metrics.items():
         if type(m).__module__ != M.__name__:
             warnings.warn("Custom metrics are not supported.", stacklevel=2)
     known = {n: m for n, m in metrics.items() if type(m).__module__ == M.__name__}
     parts = []
+    catalog = _n_catalog(catalog)
+    if len({family(m) for m in known.values()}) > 1:
+        reco = cut(reco.select(*Columns.UserItem, Columns.Rank))
+        interactions = None if interactions is None else cut(interactions)
+        prev_interactions = None if prev_interactions is None else cut(prev_interactions.select(*Columns.UserItem))
     for names, table in tables(known, reco, interactions, prev_interactions, catalog, ref_reco):  # type: ignore[arg-type]
         means = table.agg(*[F.avg(n).alias(n) for n in names])
         entries = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(f"`{n}`").cast("double").alias("value")) for n in names])
