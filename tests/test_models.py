@@ -13,6 +13,7 @@ from tidemark.functions.autograd import Tensor
 from tidemark.operators import metrics as M
 from tidemark.operators import models as O
 from tidemark.operators.ann import ItemToItemAnnRecommender, UserToItemAnnRecommender
+from tidemark.operators.models import factors
 from tidemark.operators.models.factors import gram_of
 from tidemark.operators.models.sequential import left_padded, loss_of, sessions, time_buckets
 from tidemark.operators.models.sgd import kth_best
@@ -205,7 +206,9 @@ def test_svd(shared):  # noqa: ANN001
     assert ids(lists(model.recommend([10, 20], shared, 2, True))) == best
 
 
-def test_als_equals_dense_solution(shared):  # noqa: ANN001
+@pytest.mark.parametrize("most", [factors.ROW_CELLS, 1])
+def test_als_equals_dense_solution(shared, monkeypatch, most):  # noqa: ANN001
+    monkeypatch.setattr(factors, "ROW_CELLS", most)  # 1: every row is spread over blocks
     x, users, items = dense_matrix()
     model = O.ALSModel(3, regularization=0.1, alpha=2.0, iterations=4, random_state=5).fit(shared)
     left, right = ({r["id"]: np.array(r["factors"]) for r in t.collect()} for t in model.get_vectors())
