@@ -79,7 +79,7 @@ def dataset(spark: SparkSession, sf_dir: str) -> Dataset:
 
 
 def coarse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Interactions with brand and type for the item: a catalog small enough for dense models at any scale."""
+    """Interactions with brand and type for the item: a catalog for models that hold a row or a square of it in memory."""
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias(Columns.Item), F.concat_ws("|", "p_brand", "p_type").alias("kind"))
     return interactions(spark, sf_dir).join(part, Columns.Item).select(Columns.User, F.col("kind").alias(Columns.Item), Columns.Weight, Columns.Datetime, Columns.Row)
 
@@ -449,15 +449,15 @@ def item_knn_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_rank(model.tables["similar"], Columns.TargetItem).select(Columns.TargetItem, Columns.Item, Columns.Rank, F.round(Columns.Score, 6).alias(Columns.Score))
 
 
-def _fitted(make: Callable[[], O.ModelBase]) -> Query:
+def _fitted(make: Callable[[], O.ModelBase], rows: Callable[[SparkSession, str], DataFrame] = interactions) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        ds = Dataset.construct(coarse(spark, sf_dir))
+        ds = Dataset.construct(rows(spark, sf_dir))
         return make().fit(ds).recommend(ds.hot(Columns.User), ds, 10, False, on_unsupported_targets="ignore")
 
     return run
 
 
-QUERIES["ease"] = _fitted(lambda: O.EASEModel(500.0))
+QUERIES["ease"] = _fitted(lambda: O.EASEModel(500.0), coarse)
 QUERIES["pure_svd"] = _fitted(lambda: O.PureSVDModel(16, random_state=1))
 QUERIES["als"] = _fitted(lambda: O.ALSModel(16, iterations=3, random_state=1))
 QUERIES["bpr"] = _fitted(lambda: O.BPRModel(16, iterations=2, learning_rate=0.05, random_state=1))
@@ -473,7 +473,7 @@ def _sequence(make: Callable[[], O.ModelBase]) -> Query:
     return run
 
 
-_SMALL = {"n_factors": 16, "n_blocks": 1, "n_heads": 2, "session_max_len": 20, "epochs": 1, "most_users": 2000}
+_SMALL = {"n_factors": 16, "n_blocks": 1, "n_heads": 2, "session_max_len": 20, "epochs": 1}
 QUERIES["sasrec"] = _sequence(lambda: O.SASRecModel(**_SMALL))
 QUERIES["bert4rec"] = _sequence(lambda: O.BERT4RecModel(**_SMALL))
 QUERIES["hstu"] = _sequence(lambda: O.HSTUModel(**_SMALL))
@@ -484,7 +484,7 @@ QUERIES["ligr"] = _sequence(lambda: O.LiGRModel(**_SMALL, loss="gBCE", n_negativ
 def dssm(spark: SparkSession, sf_dir: str) -> DataFrame:
     users = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.lit("segment").alias("feature"), F.col("c_mktsegment").alias("value"))
     ds = Dataset.construct(interactions(spark, sf_dir), users, ("segment",), item_features_df=item_features(spark, sf_dir).where("feature <> 'size'"), cat_item_features=("brand", "type"))
-    return O.DSSMModel(16, max_epochs=1, batch_size=512, most_users=1000).fit(ds).recommend(ds.hot(Columns.User), ds, 10, False, on_unsupported_targets="ignore")
+    return O.DSSMModel(16, max_epochs=1, batch_size=512).fit(ds).recommend(ds.hot(Columns.User), ds, 10, False, on_unsupported_targets="ignore")
 
 
 @query(
