@@ -466,18 +466,18 @@ QUERIES["lightfm"] = _fitted(lambda: O.LightFMModel(16, loss="warp", epochs=2, r
 
 def _sequence(make: Callable[[], O.ModelBase]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        ds = Dataset.construct(coarse(spark, sf_dir))
+        ds = Dataset.construct(interactions(spark, sf_dir))
         now = get_context(ds.raw.withColumn(Columns.Datetime, F.col(Columns.Datetime) + F.expr("interval 10 years")))
         return make().fit(ds).recommend(ds.hot(Columns.User), ds, 10, False, on_unsupported_targets="ignore", context=now)
 
     return run
 
 
-_SMALL = {"n_factors": 16, "n_blocks": 1, "n_heads": 2, "session_max_len": 20, "epochs": 1}
+_SMALL = {"n_factors": 16, "n_blocks": 1, "n_heads": 2, "session_max_len": 20, "epochs": 1, "loss": "sampled_softmax", "n_negatives": 16}
 QUERIES["sasrec"] = _sequence(lambda: O.SASRecModel(**_SMALL))
 QUERIES["bert4rec"] = _sequence(lambda: O.BERT4RecModel(**_SMALL))
 QUERIES["hstu"] = _sequence(lambda: O.HSTUModel(**_SMALL))
-QUERIES["ligr"] = _sequence(lambda: O.LiGRModel(**_SMALL, loss="gBCE", n_negatives=4))
+QUERIES["ligr"] = _sequence(lambda: O.LiGRModel(**_SMALL | {"loss": "gBCE", "n_negatives": 4}))
 
 
 @query()
