@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import time
+from fractions import Fraction
+from math import floor
 
 import random
 
@@ -62,6 +64,17 @@ def test_topk_odd_rows(spark):  # noqa: ANN001
     assert as_lists(topk.top_k(df.where("vec_id = 50"))) == {}
 
 
+def test_topk_of_huge_components(spark):  # noqa: ANN001
+    """Every finite vector takes part, exactly; scores beyond 64 bits are shown as the nearest long."""
+    big = [1.7e308, -1.7e308, 7.1e305, 1e200, 3e15 + 0.5, 2.0**45 + 1 / 512, -1e-300, 0.1]
+    rows = [(50 * (i == 0) + i, [big[i], big[(i + 3) % 8], float(i), -big[(i + 1) % 8]]) for i in range(8)]
+    got = as_lists(topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))
+    exact = lambda x: floor(Fraction(x) * 256)
+    scores = {i: sum(exact(a) * exact(b) for a, b in zip(rows[0][1], v)) for i, v in rows[1:]}
+    best = sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:5]
+    assert got[50] == [(i, min(max(s, -(1 << 63)), (1 << 63) - 1)) for i, s in best]
+
+
 def test_blocks_see_every_candidate(spark, monkeypatch):  # noqa: ANN001
     monkeypatch.setattr(topk, "BLOCK_NUMBERS", 64 * 4)
     rng = np.random.default_rng(1)

@@ -22,7 +22,7 @@ from .common import pieces, text_batches
 
 #: Labelled documents the model is fitted on at most (the first by a hash of their id), lines of a training chain, and most
 #: chains of a training document (spread evenly over it).
-TRAIN_DOCUMENTS, CHAIN, CHAINS = 6_000, 64, 32
+TRAIN_DOCUMENTS, CHAIN, CHAINS = 6_000, 64, 4
 #: Bins of a feature, rounds and rate of the fit, weight of the squared penalty.
 BINS, ROUNDS, RATE, PENALTY = 8, 150, 0.08, 1e-3
 
@@ -169,8 +169,9 @@ def fit_chains(x: np.ndarray, sizes: np.ndarray, labels: np.ndarray, prior: floa
 
 
 def fit(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = TRAIN_DOCUMENTS) -> Chain:
-    """Fits on at most `most` labelled documents, the first by a hash of their id. labels: id_col and label_col (0 or 1);
-    rows with a null id or label are ignored, an id with several labels counts by its largest."""
+    """Fits on at most `most` labelled documents, the first by a hash of their id, and on at most CHAINS chains of CHAIN lines
+    of each, spread evenly over it. labels: id_col and label_col (0 or 1); rows with a null id or label are ignored, an id
+    with several labels counts by its largest."""
     text_batches(documents.sparkSession)
     known = labels.select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("y")).where("k is not null and y in (0, 1)").groupBy("k").agg(F.max("y").alias("y"))
     chosen = known.orderBy(F.xxhash64("k"), "k").limit(most)
@@ -190,7 +191,8 @@ def fit(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
                         ys.append(y)
                 yield pa.RecordBatch.from_pydict({"x": pa.array(found, pa.binary()), "y": pa.array(ys, pa.int32())})
 
-    got = rows.mapInArrow(run, "x binary, y int").orderBy("x", "y").collect()
+    # At most TRAIN_DOCUMENTS * CHAINS chains (rows that share an id aside) of CHAIN lines: some 100 MB.
+    got = sorted(rows.mapInArrow(run, "x binary, y int").collect())
     parts = [np.frombuffer(r["x"], np.float32).reshape(-1, FEATURES) for r in got]
     y = np.array([r["y"] for r in got], np.int64)
     x = np.concatenate(parts) if parts else np.zeros((0, FEATURES), np.float32)
@@ -224,7 +226,12 @@ def held_out(key: str = "doc_id") -> F.Column:
 
 
 def classify(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted (score >= 0.5): fitted on labels of documents that are not held out."""
+    """doc_id, held_out, score, predicted (score >= 0.5): fitted on labels of documents that are not held out.
+
+    Null, empty and blank texts get the share of good documents in training, as all do without usable labels; very long texts
+    are scored whole; equal texts score alike; every row gives one, null and repeated ids included (a null id is not held
+    out); an empty table gives none. Other columns are not read, so they may have any name.
+    """
     model: Chain = fit(documents, labels.where(~held_out()))
     return score(documents, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 

@@ -42,12 +42,24 @@ def matrix(lists: list[list[float]], width: int) -> np.ndarray:
     return out
 
 
-def exact_scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Integer inner products of matching rows; of Python integers where doubles would round."""
-    top = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(1, q.shape[1])
+def whole(x: float, scale: int) -> int:
+    """scale * x for an x that is a multiple of 1 / scale, also where a double can't hold it."""
+    return int(x * scale) if abs(x) < 2.0**900 else int(x) * scale
+
+
+def exact_scores(q: np.ndarray, c: np.ndarray, scale: int) -> np.ndarray:
+    """Integer inner products of matching rows, times the squared scale; of Python integers where doubles would round."""
+    top = scale * float(np.abs(q).max(initial=0)) * scale * float(np.abs(c).max(initial=0)) * max(1, q.shape[1])
     if top < EXACT:
-        return np.einsum("ij,ij->i", q, c)
-    return np.array([sum(int(a) * int(b) for a, b in zip(x, y)) for x, y in zip(q, c)], object)
+        return np.einsum("ij,ij->i", q * scale, c * scale)
+    return np.array([sum(whole(a, scale) * whole(b, scale) for a, b in zip(x, y)) for x, y in zip(q.tolist(), c.tolist())], object)
+
+
+def as_float(n: object) -> float:
+    try:
+        return float(n)  # type: ignore[arg-type]
+    except OverflowError:
+        return np.inf if n > 0 else -np.inf  # type: ignore[operator]
 
 
 def sortable(n: int) -> str:
@@ -73,43 +85,49 @@ class Best:
             kept = sorted(own.items(), key=lambda x: (-x[1], x[0]))[: self.k]
             self.found[r] = dict(kept)
             if len(kept) == self.k:
-                self.least[r] = max(self.least[r], float(kept[-1][1]))
+                self.least[r] = max(self.least[r], np.nextafter(as_float(kept[-1][1]), -np.inf))
+
+
+def search(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, rotation: np.ndarray, k: int, floor: np.ndarray, scale: int = SCALE) -> Best:
+    """floor: for each query, a score that its k-th hit is known to reach. Bounds that overflow drop nothing."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        return _search(queries, query_ids, vectors, ids, rotation, k, floor, scale)
 
 
-def search(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, rotation: np.ndarray, k: int, floor: np.ndarray) -> Best:
-    """floor: for each query, a score that its k-th hit is known to reach."""
+def _search(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, rotation: np.ndarray, k: int, floor: np.ndarray, scale: int) -> Best:
     best = Best(len(queries), k)
     best.least = floor.copy()
     length = np.sqrt((vectors**2).sum(1))
     order = np.argsort(-length, kind="stable")
     vectors, ids, length = vectors[order], ids[order], length[order]
+    unit = float(scale) ** 2  # bounds are in the unit of scores
     turned_q, turned_c = queries @ rotation, vectors @ rotation
     steps = [s for s in STEPS if s < queries.shape[1]]
     rest = lambda m, s: np.sqrt(np.maximum((m[:, s:] ** 2).sum(1), 0))
-    tail_q, tail_c = [rest(turned_q, s) for s in steps], [rest(turned_c, s) for s in steps]
-    size_q = np.sqrt((queries**2).sum(1))
+    tail_q, tail_c = [unit * rest(turned_q, s) for s in steps], [rest(turned_c, s) for s in steps]
+    size_q, turned_q = unit * np.sqrt((queries**2).sum(1)), unit * turned_q
     for at in range(0, len(ids), CHUNK):
         part = slice(at, at + CHUNK)
-        live = np.flatnonzero(size_q * length[at] * (1 + 1e-9) >= best.least)  # the longest vector of the chunk comes first
+        live = np.flatnonzero(~(size_q * length[at] * (1 + 1e-9) < best.least))  # the longest vector of the chunk comes first
         if not len(live):
             if length[at] == 0 or (size_q * length[at] < best.least).all():
                 break
             continue
         low = best.least[live, None]
         slack = 1e-9 * size_q[live, None] * length[None, part]
-        alive = size_q[live, None] * length[None, part] + slack >= low
+        alive = ~(size_q[live, None] * length[None, part] + slack < low)
         total, done = np.zeros(alive.shape), 0
         for s, tq, tc in zip(steps, tail_q, tail_c):
             total += turned_q[live, done:s] @ turned_c[part, done:s].T
             done = s
-            alive &= total + tq[live, None] * tc[None, part] + slack >= low
+            alive &= ~(total + tq[live, None] * tc[None, part] + slack < low)
             if alive.sum() < alive.size // 64:
                 break
         x, y = np.nonzero(alive & (query_ids[live, None] != ids[None, part]))
         for lo in range(0, len(x), 1 << 16):
             qx, cy = live[x[lo : lo + (1 << 16)]], y[lo : lo + (1 << 16)] + at
-            scores = exact_scores(queries[qx], vectors[cy])
-            ok = scores.astype(float) >= best.least[qx]
+            scores = exact_scores(queries[qx], vectors[cy], scale)
+            ok = np.array([as_float(x) for x in scores]) >= best.least[qx] if scores.dtype == object else scores >= best.least[qx]
             best.add(qx[ok], ids[cy[ok]], scores[ok])
     return best
 
@@ -139,8 +157,10 @@ def top_k(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embe
     spark = vectors.sparkSession
     v = F.col(vector_col).cast("array<double>")
     fit = "id is not null and v is not null and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))"
-    # floor() of a double is a long in Spark; a double's own floor keeps components beyond 64 bits.
-    whole = f"transform(v, x -> case when abs(x * {scale}) < 4e15 then cast(floor(x * {scale}) as double) else x * {scale} end)"
+    if scale < 1 or scale & (scale - 1):
+        raise ValueError("the scale must be a power of two, so that integers divided by it are doubles")
+    # floor(scale * x) / scale; from 2**52 on, doubles are integers.
+    whole = f"transform(v, x -> case when abs(x * {scale}) < 4503599627370496D then floor(x * {scale}) / {scale}D else x end)"
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(F.expr(fit)).select("id", F.expr(whole).alias("v"))
     facts = rows.agg(F.count("*"), F.count(F.when(F.col("id") % every == 0, 1)), F.max(F.size("v"))).first()
     n, n_queries, width = facts[0], facts[1], max(1, facts[2] or 1)
@@ -170,8 +190,8 @@ def top_k(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embe
         if left.num_rows and right.num_rows:
             q_ids, ids = np.array(left.column("id").to_pylist(), np.int64), np.array(right.column("vec").to_pylist(), np.int64)
             q, c = matrix(left.column("v").to_pylist(), width), matrix(right.column("w").to_pylist(), width)
-            start = search(q, q_ids, seed_vectors, seed_ids, rotation, k, np.full(len(q), -np.inf))
-            got = search(q, q_ids, c, ids, rotation, k, start.least)
+            start = search(q, q_ids, seed_vectors, seed_ids, rotation, k, np.full(len(q), -np.inf), scale)
+            got = search(q, q_ids, c, ids, rotation, k, start.least, scale)
             found = [(int(a), int(i), min(max(int(s), LONG[0]), LONG[1]), sortable(int(s))) for a, own in zip(q_ids, got.found) for i, s in own.items()]
         columns = list(zip(*found)) or [()] * 4
         return pa.table({"query_id": pa.array(list(columns[0]), pa.int64()), "vec_id": pa.array(list(columns[1]), pa.int64()), "score": pa.array(list(columns[2]), pa.int64()), "wide": pa.array(list(columns[3]), pa.string())})
