@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import decontaminate, langid, line_dedup, near_join, packing
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, drop_since, mark
 from tidemark.llm.queries import table, tokenizer_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -56,7 +56,9 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The pieces of what the stages keep. A stage's result is written, then all tables that led to it are deleted."""
+    docs, point = table(spark, sf_dir, "documents"), mark()
     for _, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir))
+        drop_since(spark, point)
     return STAGES[-1][1](spark, docs, sf_dir)
