@@ -797,15 +797,15 @@ class _Features(CandidateFeatureCollector):
         return self.part
 
 
-def _two_stage(spark: SparkSession, sf_dir: str) -> tuple[CandidateRankingModel, Dataset]:
-    from pyspark.ml.classification import LogisticRegression
+def _two_stage(spark: SparkSession, sf_dir: str, trees: bool = False) -> tuple[CandidateRankingModel, Dataset]:
+    from pyspark.ml.classification import GBTClassifier, LogisticRegression
 
     ds = Dataset.construct(interactions(spark, sf_dir))
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias(Columns.Item), "p_size", "p_retailprice")
     generators = [
         CandidateGenerator(O.PopularModel(), 30, True, True, ranks_fillna_value=31, scores_fillna_value=0.0), CandidateGenerator(O.PopularModel("sum_weight"), 30, True, False, ranks_fillna_value=31),
     ]
-    return CandidateRankingModel(generators, SPLITTER, Reranker(LogisticRegression(maxIter=5)), PerUserNegativeSampler(3, 1), _Features(part)), ds
+    return CandidateRankingModel(generators, SPLITTER, Reranker(GBTClassifier(maxIter=5, maxDepth=4, seed=1) if trees else LogisticRegression(maxIter=5)), PerUserNegativeSampler(3, 1), _Features(part)), ds
 
 
 CANDIDATES_SQL = f"""with {FOLD}, ranked2 as (select item_id, row_number() over (order by sum(weight) desc, item_id) as pos from train group by item_id),
@@ -834,6 +834,14 @@ def two_stage_reco(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.recommend(ds.hot(Columns.User), ds, 10, True, on_unsupported_targets="ignore")
 
 
+@query()
+def two_stage_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with gradient-boosted trees for the reranker."""
+    model, ds = _two_stage(spark, sf_dir, trees=True)
+    model.fit(ds)
+    return model.recommend(ds.hot(Columns.User), ds, 10, True, on_unsupported_targets="ignore")
+
+
 @query(
     f"""with {FOLD}, chosen as (select user_id from (select distinct user_id from reco) order by {MD5.format("concat_ws('|', 32, user_id)")}, user_id limit 5), named as (select user_id, 'random_' || row_number() over (order by user_id) as request_name from chosen)
     select request_name, r.user_id, r.item_id, r.rank, p_brand as brand from reco r join named using (user_id) left join part on p_partkey = r.item_id"""
