@@ -82,6 +82,27 @@ def test_blocks_see_every_candidate(spark, monkeypatch):  # noqa: ANN001
     assert as_lists(topk.top_k(df)) == brute_topk([tuple(r) for r in df.collect()])
 
 
+def test_length_classes_keep_every_hit(spark, monkeypatch):  # noqa: ANN001
+    """Lengths over many magnitudes, a third of the rows one vector, zero and opposite queries: short classes are skipped
+    by queries that don't need them, and only by these."""
+    monkeypatch.setattr(topk, "BLOCK_NUMBERS", 64 * 4)
+    rng = np.random.default_rng(2)
+    rows = [(i, (rng.normal(size=4) * 10 ** rng.uniform(-3, 3)).tolist()) for i in range(2400)]
+    rows += [(i, [0.5, 0.25, -1.0, 2.0]) for i in range(2400, 3600)]
+    rows += [(3600, [0.0, 0.0, 0.0, 0.0]), (3650, [-1e3, -1e3, -1e3, -1e3]), (3700, [1e-3, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert as_lists(topk.top_k(df)) == brute_topk(rows)
+
+
+def test_parting_and_places(spark):  # noqa: ANN001
+    df = spark.createDataFrame([(float(x),) for x in [*range(100), *[50] * 100]], "x double")
+    borders = topk.parting(df, "x", 4)
+    assert borders == sorted(set(borders)) and 50.0 in borders
+    assert topk.parting(df, "x", 1) == []
+    got = df.select("x", topk.places(borders, "x", lambda x, b: x < b).alias("c")).collect()
+    assert all(r["c"] == sum(r["x"] < b for b in borders) for r in got)
+
+
 def dice(a: str, b: str) -> float:
     x, y = set(license_scan.bigrams(a)), set(license_scan.bigrams(b))
     return 2 * len(x & y) / (len(x) + len(y)) if x and y else 0.0
