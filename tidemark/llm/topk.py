@@ -35,8 +35,8 @@ SEED_NUMBERS = 1 << 16
 CLASSES, GROUPS = 64, 16
 #: Error of the quantiles that part them, in ranks: one in so many.
 ACCURACY = 10_000
-#: Coordinates after which a candidate is judged, and candidates judged together.
-STEPS, CHUNK = (4, 8, 16, 32), 512
+#: Coordinates, and eighths of all of them, after which a candidate is judged; candidates judged together, pairs scored together.
+STEPS, EIGHTHS, CHUNK, PAIRS = (4, 8, 16, 32), (4, 5, 6, 7), 512, 1 << 13
 #: Beyond this, products of doubles are no longer exact, and Python integers take over.
 EXACT = 2.0**52
 LONG = (-(1 << 63), (1 << 63) - 1)
@@ -127,7 +127,7 @@ def _search(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids
     vectors, ids, length = vectors[order], ids[order], length[order]
     unit = float(scale) ** 2  # bounds are in the unit of scores
     turned_q, turned_c = queries @ rotation, vectors @ rotation
-    steps = [s for s in STEPS if s < queries.shape[1]]
+    steps = sorted(s for s in {*STEPS, *(queries.shape[1] * e // 8 for e in EIGHTHS)} if 0 < s < queries.shape[1])
     rest = lambda m, s: np.sqrt(np.maximum((m[:, s:] ** 2).sum(1), 0))
     tail_q, tail_c = [unit * rest(turned_q, s) for s in steps], [rest(turned_c, s) for s in steps]
     size_q, turned_q = unit * np.sqrt((queries**2).sum(1)), unit * turned_q
@@ -149,8 +149,8 @@ def _search(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids
             if alive.sum() < alive.size // 64:
                 break
         x, y = np.nonzero(alive & (query_ids[live, None] != ids[None, part]))
-        for lo in range(0, len(x), 1 << 16):
-            qx, cy = live[x[lo : lo + (1 << 16)]], y[lo : lo + (1 << 16)] + at
+        for lo in range(0, len(x), PAIRS):
+            qx, cy = live[x[lo : lo + PAIRS]], y[lo : lo + PAIRS] + at
             scores = exact_scores(queries[qx], vectors[cy], scale)
             ok = np.array([as_float(x) for x in scores]) >= best.least[qx] if scores.dtype == object else scores >= best.least[qx]
             best.add(qx[ok], ids[cy[ok]], scores[ok])
