@@ -15,11 +15,11 @@ from tidemark.operators import models as O
 from tidemark.operators.ann import ItemToItemAnnRecommender, UserToItemAnnRecommender
 from tidemark.operators.models import factors
 from tidemark.operators.models.factors import gram_of
-from tidemark.operators.models.sequential import left_padded, loss_of, sessions, time_buckets
+from tidemark.operators.models.sequential import Network, left_padded, loss_of, sessions, time_buckets
 from tidemark.operators.models.sgd import kth_best
 from tidemark.operators.rank import VectorRanker, recommend_from_scores
 from tidemark.operators.sampling import triplets
-from tidemark.operators.splits import LastNSplitter
+from tidemark.operators.splits import LastNSplitter, leave_one_out
 from tidemark.plans.cross_validate import cross_validate
 from tidemark.plans.report import MetricsReport, ReportStorage
 from tidemark.plans.two_stage import CandidateFeatureCollector, CandidateGenerator, CandidateRankingModel, PerUserNegativeSampler, Reranker
@@ -413,6 +413,7 @@ def test_gradients():
     for act in (ag.sigmoid, ag.silu, ag.relu, ag.gelu, ag.softplus, ag.softmax, ag.log_softmax):
         numeric_check(lambda t, act=act: (act(t) * Tensor(w.T)).sum(), x)
     numeric_check(lambda t: (ag.layer_norm(t, Tensor(w[:, 0]), Tensor(w[:, 1])) * Tensor(w.T)).sum(), x)
+    numeric_check(lambda t: (ag.unit(t) * Tensor(w.T)).sum(), x)
     numeric_check(lambda t: ((t @ Tensor(w)) @ t).rows(np.array([0, 2, 2])).sum(), x)
     numeric_check(lambda t: ag.log_softmax(t).pick(np.array([1, 0, 3])).sum(), x)
     items, y, neg = rng.normal(size=(6, 4)), np.array([[1, 0, 3]]), np.array([[[2, 4], [1, 1], [5, 2]]])
@@ -446,6 +447,35 @@ def test_sequence_models_learn_order(spark, kind):  # noqa: ANN001
             kind().recommend([1], ds, 1, False)
 
 
+def test_sequence_parts_are_replaceable(spark, tmp_path):  # noqa: ANN001
+    rows = [(u, (u + d) % 6 + 100, 1, f"2021-01-{d + 1:02d}") for u in range(60) for d in range(5)]
+    ds = Dataset.construct(rows_of(spark, rows))
+    small = {"n_factors": 16, "n_blocks": 1, "n_heads": 2, "session_max_len": 6, "batch_size": 32, "lr": 0.02}
+    model = O.SASRecModel(**small, epochs=30, similarity="cosine", hold_out=leave_one_out, dropout_rate=0.1).fit(ds)
+    # The held-out item follows from those before, so the loss is below that of a guess among six by cosine.
+    assert 0 < model.validation_loss < np.log(6)
+    assert O.SASRecModel(**small, epochs=1).fit(ds).validation_loss is None
+    model.save(f"{tmp_path}/model")
+    assert O.SASRecModel.load(f"{tmp_path}/model", spark).hold_out is leave_one_out
+
+    def first_item(rng, shape, first, n_items):  # noqa: ANN001, ANN202
+        assert n_items == 6
+        return np.full(shape, first)
+
+    def vectors(**more):  # noqa: ANN003, ANN202
+        fitted = O.SASRecModel(**small, epochs=2, loss="BCE", n_negatives=2, **more).fit(ds)
+        return fitted.net.items().data
+
+    drawn, usual = vectors(negative_sampler=first_item), vectors()
+    assert (drawn == vectors(negative_sampler=first_item)).all() and not np.allclose(drawn, usual)
+    assert O.HSTUModel().similarity == "cosine" and O.SASRecModel().similarity == "dot"
+    for wrong in ({"similarity": "euclidean"}, {"dropout_rate": 1.0}, {"use_ids": False, "use_categories": False}):
+        with pytest.raises(ValueError):
+            O.SASRecModel(**wrong)
+    net = Network("sasrec", 4, 2, 4, 1, 1, 0, np.array([[0, 0], [1, 0], [0, 1], [0, 1]]), use_ids=False)
+    assert (net.items().data[2] == net.items().data[3]).all()
+
+
 def test_reports(spark, shared, tmp_path):  # noqa: ANN001
     reco = O.PopularModel().fit(shared).recommend([10, 20, 30], shared, 2, False)
     data = spark.createDataFrame([(11, "a", 1.0), (12, "b", 2.0)], "item_id long, title string, score double")

@@ -29,6 +29,8 @@ def _plain(value: Any) -> Any:
         return {"days": value.days, "seconds": value.seconds, "microseconds": value.microseconds}
     if isinstance(value, datetime):
         return value.isoformat()
+    if inspect.isfunction(value):
+        return full_path(value)
     if isinstance(value, (list, tuple)):
         return [_plain(v) for v in value]
     return value
