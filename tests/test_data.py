@@ -16,6 +16,7 @@ from tidemark.sources.dataset import Dataset
 from tidemark.sources.features import DIRECT_FEATURE_VALUE, DenseFeatures, SparseFeatures
 from tidemark.sources.idmap import IdMap
 from tidemark.sources.interactions import Interactions, get_context
+from tidemark.streaming.popularity import run_once
 
 KINDS = "user_id string, item_id string, weight double, datetime string, extra_col int, _row_id long"
 ROWS = [("u1", "i1", 2.0, "2021-09-09", 0), ("u1", "i2", 3.0, "2021-09-05", 0), ("u2", "i1", 6.0, "2021-08-20", 1), ("u2", "i2", 7.0, "2021-09-05", 1), ("u1", "i1", 6.0, "2021-09-05", 1), ("u3", "i5", 6.0, "2021-09-05", 1)]
@@ -226,3 +227,15 @@ def test_scalars(spark):  # noqa: ANN001
     places = spark.createDataFrame([("x", 0)], "v string, position long")
     with pytest.raises(ValueError):
         scalar.element_ids(spark.createDataFrame([("y",)], "v string"), places, "v")
+
+
+def test_streamed_popularity(spark, tmp_path):  # noqa: ANN001
+    """The states of the last batch that touched a window count; a stream that is started again goes on where it was."""
+    rows = [("view", 1.0, datetime(2021, 1, 1, 3)), ("view", 2.0, datetime(2021, 1, 1, 4)), ("buy", 5.0, datetime(2021, 1, 1, 5)), ("view", 1.0, datetime(2021, 1, 2, 1)), (None, None, datetime(2021, 1, 2, 2))]
+    path = f"{tmp_path}/events.parquet"
+    spark.createDataFrame(rows, "event_type string, value double, ts timestamp_ntz").coalesce(1).write.parquet(f"{tmp_path}/one")
+    next((tmp_path / "one").glob("*.parquet")).rename(path)
+    day = lambda n: datetime(2021, 1, n)
+    for _ in range(2):
+        got = {(r["window_start"], r["item_id"]): (r["n_interactions"], r["sum_weight"]) for r in run_once(spark, path, "streamed").collect()}
+        assert got == {(day(1), "view"): (2, 3.0), (day(1), "buy"): (1, 5.0), (day(2), "view"): (1, 1.0), (day(2), None): (1, None)}

@@ -26,6 +26,12 @@ def checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of checkpoints, which all executors share."""
+    checkpoint_dir(spark)
+    return str(spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()).rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: ends the lineage of iterative plans."""
     checkpoint_dir(df.sparkSession)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.runtime import small
 from tidemark.functions.scalar import ZERO_LENGTH
 from tidemark.schema import Columns
 
@@ -49,7 +50,7 @@ class VectorRanker:
         spark = self.subjects.sparkSession
         objects = self.objects.select("id", F.col("factors").cast("array<double>").alias("factors"))
         if whitelist is not None:
-            objects = objects.join(F.broadcast(whitelist.select(F.col(whitelist.columns[0]).alias("id")).distinct()), "id", "left_semi")
+            objects = objects.join(small(whitelist.select(F.col(whitelist.columns[0]).alias("id")).distinct()), "id", "left_semi")
         subjects = self.subjects.select("id", F.col("factors").cast("array<double>").alias("factors"))
         n_objects, width = objects.agg(F.count("*"), F.coalesce(F.max(F.size("factors")), F.lit(1))).first()
         n_subjects = subjects.count()

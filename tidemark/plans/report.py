@@ -44,7 +44,7 @@ class ReportStorage:
         drawn = rest.orderBy(md5_long(F.lit(seed), id_col), id_col).limit(n_random_requests)
         numbered = drawn.select(F.concat(F.lit("random_"), F.row_number().over(_by(id_col))).alias("request_name"), id_col) if n_random_requests else given.limit(0)
         requests = given.unionByName(numbered)
-        named = F.broadcast(requests)
+        named = small(requests)
         if is_u2i:
             assert interactions is not None
             viewed = interactions.join(named, id_col)

@@ -90,7 +90,7 @@ class SparseFeatures:
         # As many rows as feature columns, a property of the schema.
         names = firsts.withColumn("col", (F.row_number().over(Window.orderBy("block", "first", "feature", "value")) - 1).cast("long")).select("col", "feature", "value")
         cells = keyed.withColumn("cell", F.col("number") * F.col("weight")).groupBy("id", "feature", "value").agg(F.sum("cell").alias("cell"))
-        table = cells.join(F.broadcast(names), ["feature", "value"]).select("id", "col", F.col("cell").alias("value"))
+        table = cells.join(small(names), ["feature", "value"]).select("id", "col", F.col("cell").alias("value"))
         return cls(table, names, id_map.table.select(F.col("internal").alias("id")))
 
     def get_sparse(self) -> DataFrame:
@@ -120,7 +120,7 @@ class SparseFeatures:
 
     def get_cat_features(self) -> SparseFeatures:
         names = self.cat_names
-        return SparseFeatures(self.table.join(F.broadcast(names.select("col")), "col", "left_semi").select("id", "col", "value"), names, self.ids)
+        return SparseFeatures(self.table.join(small(names.select("col")), "col", "left_semi").select("id", "col", "value"), names, self.ids)
 
     def __len__(self) -> int:
         return self.ids.count() if self.ids is not None else self.table.select("id").distinct().count()
