@@ -13,7 +13,7 @@ from tidemark.functions.autograd import Tensor
 from tidemark.operators import metrics as M
 from tidemark.operators import models as O
 from tidemark.operators.ann import ItemToItemAnnRecommender, UserToItemAnnRecommender
-from tidemark.operators.models import factors
+from tidemark.operators.models import factors, neighbours
 from tidemark.operators.models.factors import gram_of
 from tidemark.operators.models.sequential import Network, left_padded, loss_of, sessions, time_buckets
 from tidemark.operators.models.sgd import kth_best
@@ -421,6 +421,22 @@ def test_gradients():
         numeric_check(lambda t, kind=kind: loss_of(kind, t.reshape(1, 3, 4), Tensor(items), y, np.ones((1, 3)), None if kind == "softmax" else neg, 1, 0.2), x)
 
 
+def test_heavy_users_are_shared_out(spark, monkeypatch):  # noqa: ANN001
+    """Neighbours and the Gram matrix don't depend on how a heavy user's pairs are dealt."""
+    rows = [(1, i, 1 + i % 3, "2021-01-01") for i in range(25)] + [(u, i, 1, "2021-01-01") for u in range(2, 9) for i in range(u % 3, 25, u)]
+    ds = Dataset.construct(rows_of(spark, rows))
+
+    def fitted() -> tuple:
+        knn, ease = O.ItemKNNModel("cosine", 5).fit(ds), O.EASEModel(1.0).fit(ds)
+        return sorted(map(tuple, knn.tables["similar"].collect())), {r[0]: r[1] for r in ease.tables["rows"].collect()}
+
+    usual = fitted()
+    monkeypatch.setattr(neighbours, "HEAVY", 4)
+    near, weights = fitted()
+    assert near == usual[0]
+    assert all(np.allclose(weights[i], usual[1][i]) for i in usual[1])
+
+
 def test_sessions(spark):  # noqa: ANN001
     rows = [(1, 11, 1, "2021-01-03"), (1, 12, 2, "2021-01-01"), (1, 13, 1, "2021-01-02"), (1, 14, 1, "2021-01-03"), (2, 11, 1, "2021-01-01")]
     df = Dataset.construct(rows_of(spark, rows)).raw

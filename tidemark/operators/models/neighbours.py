@@ -18,6 +18,23 @@ from tidemark.sources.interactions import user_item_matrix
 from .base import ModelBase, scored
 
 
+#: Items of a user beyond which the pairs of their items are dealt to several tasks.
+HEAVY = 2_000
+
+
+def item_pairs(matrix: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """left and right, two tables of the matrix's cells by user, joined on the user. A heavy user's left cells are dealt into
+    shares of about HEAVY, by a hash of the row, and the right ones go to each share, so that no task makes all their pairs."""
+    heavy = matrix.groupBy(Columns.User).agg(F.count("*").alias("n")).where(F.col("n") > HEAVY).select(Columns.User, F.ceil(F.col("n") / HEAVY).cast("int").alias("__shares"))
+    if heavy.isEmpty():
+        return left.join(right, Columns.User)
+    heavy = small(heavy)
+    shares = F.coalesce("__shares", F.lit(1))
+    dealt = left.join(heavy, Columns.User, "left").withColumn("__share", F.pmod(F.xxhash64(*left.columns), shares).cast("int")).drop("__shares")
+    copied = right.join(heavy, Columns.User, "left").withColumn("__share", F.explode(F.sequence(F.lit(0), shares - 1))).drop("__shares")
+    return dealt.join(copied, [Columns.User, "__share"]).drop("__share")
+
+
 class ItemKNNModel(ModelBase):
     """Top-K neighbours (an item itself among them) by the dot product of weighted item columns.
 
@@ -58,11 +75,12 @@ class ItemKNNModel(ModelBase):
         return matrix.join(norms, Columns.Item).select(*Columns.UserItem, unit.alias(Columns.Weight))
 
     def _fit(self, dataset: Dataset) -> None:
-        cells = self.weighted(user_item_matrix(dataset.raw))
+        matrix = user_item_matrix(dataset.raw)
+        cells = self.weighted(matrix)
         left = cells.select(Columns.User, F.col(Columns.Item).alias(Columns.TargetItem), F.col(Columns.Weight).alias("a"))
         right = cells.select(Columns.User, Columns.Item, F.col(Columns.Weight).alias("b"))
         # Each pair of items is summed once and then written both ways.
-        sums = left.join(right, Columns.User).where(F.col(Columns.TargetItem) <= F.col(Columns.Item)).groupBy(Columns.TargetItem, Columns.Item).agg(F.sum(F.col("a") * F.col("b")).alias(Columns.Score)).where(F.col(Columns.Score) != 0)
+        sums = item_pairs(matrix, left, right).where(F.col(Columns.TargetItem) <= F.col(Columns.Item)).groupBy(Columns.TargetItem, Columns.Item).agg(F.sum(F.col("a") * F.col("b")).alias(Columns.Score)).where(F.col(Columns.Score) != 0)
         one, two = F.struct(Columns.TargetItem, Columns.Item, Columns.Score), F.struct(F.col(Columns.Item).alias(Columns.TargetItem), F.col(Columns.TargetItem).alias(Columns.Item), Columns.Score)
         similar = sums.select(F.inline(F.when(F.col(Columns.TargetItem) == F.col(Columns.Item), F.array(one)).otherwise(F.array(one, two))))
         # Scores have 12 digits, so that the order of summation cannot decide a tie.
@@ -101,7 +119,7 @@ class EASEModel(ModelBase):
         place = {n: i for i, n in enumerate(names)}
         left = matrix.select(Columns.User, F.col(Columns.Item).alias("i"), F.col(Columns.Weight).alias("a"))
         right = matrix.select(Columns.User, F.col(Columns.Item).alias("j"), F.col(Columns.Weight).alias("b"))
-        cells = left.join(right, Columns.User).where("i <= j").groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("x"))
+        cells = item_pairs(matrix, left, right).where("i <= j").groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("x"))
         gram = np.zeros((len(names), len(names)))
         for r in cells.toLocalIterator():
             i, j = place[r["i"]], place[r["j"]]
