@@ -17,6 +17,7 @@ from tidemark.operators.models import factors, neighbours
 from tidemark.operators.models.factors import gram_of
 from tidemark.operators.models.sequential import Network, left_padded, loss_of, sessions, time_buckets
 from tidemark.operators.models.sgd import kth_best
+from tidemark.operators import products
 from tidemark.operators.rank import VectorRanker, recommend_from_scores
 from tidemark.operators.sampling import triplets
 from tidemark.operators.splits import LastNSplitter, leave_one_out
@@ -506,3 +507,25 @@ def test_reports(spark, shared, tmp_path):  # noqa: ANN001
     assert report.fold_ids == [0, 1] and {r["model"]: (r["kind"], r["ndcg"]) for r in report.average().collect()} == {"a": ("x", 2.0), "b": (None, 2.0)}
     with pytest.raises(ValueError):
         MetricsReport.construct(table.where("not (model = 'a' and i_split = 1)"))
+
+
+def test_products_in_blocks_and_rounds(spark, shared, monkeypatch):  # noqa: ANN001
+    """Neighbours don't depend on blocks, on rounds or on rows that are dealt to several blocks, and no pair is joined in Spark."""
+    rng = np.random.default_rng(4)
+    rows = [(u, int(i), int(rng.integers(1, 4)), "2021-01-01") for u in range(40) for i in {0, 1, *rng.integers(0, 30, 8)}]
+    ds = Dataset.construct(rows_of(spark, rows))
+    named = Dataset.construct(rows_of(spark, rows).withColumns({"item_id": F.concat(F.lit("i"), F.lpad(F.col("item_id").cast("string"), 3, "0")), "user_id": F.concat(F.lit("u"), F.col("user_id").cast("string"))}))
+
+    def fitted(ds: Dataset, hide: bool) -> tuple:
+        model = O.ItemKNNModel("tfidf", 5).fit(ds)
+        reco = model.recommend(ds.hot("user_id"), ds, 4, hide)
+        assert "Join" not in model.tables["similar"]._jdf.queryExecution().optimizedPlan().toString() or ds is named
+        plain = lambda v: int(str(v).lstrip("ui"))
+        return sorted((plain(a), plain(b), c) for a, b, c in model.tables["similar"].collect()), sorted((plain(r[0]), plain(r[1]), round(r[2], 5), r[3]) for r in reco.collect())
+
+    usual = [fitted(ds, hide) for hide in (True, False)]
+    assert len(usual[0][1]) == 160 and not {(u, i) for u, i, *_ in usual[0][1]} & {(u, i) for u, i, *_ in rows}
+    assert fitted(named, True) == usual[0]
+    monkeypatch.setattr(products, "BLOCK_TERMS", 60)  # most rows are hot
+    monkeypatch.setattr(products, "ROUND_TERMS", 1_500)
+    assert [fitted(ds, hide) for hide in (True, False)] == usual
