@@ -13,7 +13,7 @@ from tidemark.functions.autograd import Tensor
 from tidemark.operators import metrics as M
 from tidemark.operators import models as O
 from tidemark.operators.ann import ItemToItemAnnRecommender, UserToItemAnnRecommender
-from tidemark.operators.models import factors, neighbours
+from tidemark.operators.models import factors, neighbours, sequential
 from tidemark.operators.models.factors import gram_of
 from tidemark.operators.models.sequential import Network, left_padded, loss_of, sessions, time_buckets
 from tidemark.operators.models.sgd import kth_best
@@ -464,6 +464,27 @@ def test_sequence_models_learn_order(spark, kind):  # noqa: ANN001
             kind().recommend([1], ds, 1, False)
 
 
+def in_parts(monkeypatch, tokens=5, sessions=25):  # noqa: ANN001, ANN201
+    for name, value in (("WHOLE_TOKENS", tokens), ("POOL_TOKENS", 64), ("LARGE_PART_SESSIONS", sessions), ("PART_SESSIONS", sessions), ("CHUNK_TOKENS", 4)):
+        monkeypatch.setattr(sequential, name, value)
+
+
+@pytest.mark.parametrize(("kind", "extra"), [(O.SASRecModel, 1)])
+def test_parts_train_the_tokens_they_meet(spark, monkeypatch, kind, extra):  # noqa: ANN001
+    """Of a large catalog, no part gets or returns more than what it meets, the order is learned all the same, and ids that
+    fall into one part alone come out as that part made them."""
+    in_parts(monkeypatch)
+    rows = [(u, (u + d) % 6 + 100, 1, f"2021-01-{d + 1:02d}") for u in range(60) for d in range(5)]
+    ds = Dataset.construct(rows_of(spark, rows))
+    own = {"n_factors": 16, "n_blocks": 1, "n_heads": 2, "session_max_len": 6, "batch_size": 8, "lr": 0.02, "mask_prob": 0.4, "loss": "sampled_softmax", "n_negatives": 8}
+    model = kind(**own, epochs=10).fit(ds)
+    assert model.net.table.dtype == np.float32 and model.net.table.shape == (6 + extra, 16) and "item" not in model.net.p
+    context = spark.createDataFrame([(u, datetime(2021, 1, 6)) for u in range(6)], "user_id long, datetime timestamp")
+    reco = model.recommend(list(range(6)), ds, 1, False, context=context)
+    assert sum(r["item_id"] == (r["user_id"] + 5) % 6 + 100 for r in reco.collect()) >= 5
+    assert (kind(**own, epochs=2).fit(ds).net.table == kind(**own, epochs=2).fit(ds).net.table).all()
+
+
 def test_sequence_parts_are_replaceable(spark, tmp_path):  # noqa: ANN001
     rows = [(u, (u + d) % 6 + 100, 1, f"2021-01-{d + 1:02d}") for u in range(60) for d in range(5)]
     ds = Dataset.construct(rows_of(spark, rows))
