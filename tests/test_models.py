@@ -13,7 +13,7 @@ from tidemark.functions.autograd import Tensor
 from tidemark.operators import metrics as M
 from tidemark.operators import models as O
 from tidemark.operators.ann import ItemToItemAnnRecommender, UserToItemAnnRecommender
-from tidemark.operators.models import factors, neighbours, sequential
+from tidemark.operators.models import factors, neighbours, sequential, sgd
 from tidemark.operators.models.factors import gram_of
 from tidemark.operators.models.sequential import Network, left_padded, loss_of, sessions, time_buckets
 from tidemark.operators.models.sgd import kth_best
@@ -252,6 +252,20 @@ def test_sgd_models_learn(spark):  # noqa: ANN001
         O.LightFMModel(loss="x")
 
 
+def test_bpr_users_stay_in_their_parts(spark, monkeypatch):  # noqa: ANN001
+    """Small parts and chunks of items: only the items' parameters are on the driver, and the groups are still learned."""
+    monkeypatch.setattr(sgd, "PART_CELLS", 20)
+    monkeypatch.setattr(sgd, "CHUNK_ROWS", 7)
+    monkeypatch.setattr(sgd, "MOST_NUMBERS", 200)  # 20 items of 9 numbers; users don't count
+    rng = np.random.default_rng(0)
+    rows = [(u, int(rng.integers(0, 10)) + 10 * (u % 2), 1, "2021-01-01") for u in range(60) for _ in range(6)]
+    ds = Dataset.construct(rows_of(spark, rows))
+    model = O.BPRModel(8, iterations=15, learning_rate=0.2, batch=8, random_state=1).fit(ds)
+    reco = model.recommend(list(range(60)), ds, 5, False)
+    assert reco.where((F.col("item_id") >= 10) == (F.col("user_id") % 2 == 1)).count() / reco.count() > 0.8
+    assert model.tables["users"].count() == 60 and model.tables["items"].count() == 20
+
+
 def test_warp_kos_reads_k_and_n(spark):  # noqa: ANN001
     scores = np.array([[0.1, 0.9, 0.5, 7.0], [3.0, 1.0, 2.0, 4.0], [2.0, 9.0, 9.0, 9.0]])
     assert kth_best(scores, np.array([3, 4, 1]), 2).tolist() == [2, 0, 0]  # places beyond a row's count are no draws
