@@ -483,7 +483,7 @@ def in_parts(monkeypatch, tokens=5, sessions=25):  # noqa: ANN001, ANN201
         monkeypatch.setattr(sequential, name, value)
 
 
-@pytest.mark.parametrize(("kind", "extra"), [(O.SASRecModel, 1), (O.HSTUModel, 1)])
+@pytest.mark.parametrize(("kind", "extra"), [(O.SASRecModel, 1), (O.HSTUModel, 1), (O.LiGRModel, 1)])
 def test_parts_train_the_tokens_they_meet(spark, monkeypatch, kind, extra):  # noqa: ANN001
     """Of a large catalog, no part gets or returns more than what it meets, the order is learned all the same, and ids that
     fall into one part alone come out as that part made them."""
