@@ -483,7 +483,7 @@ def in_parts(monkeypatch, tokens=5, sessions=25):  # noqa: ANN001, ANN201
         monkeypatch.setattr(sequential, name, value)
 
 
-@pytest.mark.parametrize(("kind", "extra"), [(O.SASRecModel, 1), (O.HSTUModel, 1), (O.LiGRModel, 1)])
+@pytest.mark.parametrize(("kind", "extra"), [(O.SASRecModel, 1), (O.HSTUModel, 1), (O.LiGRModel, 1), (O.BERT4RecModel, 2)])
 def test_parts_train_the_tokens_they_meet(spark, monkeypatch, kind, extra):  # noqa: ANN001
     """Of a large catalog, no part gets or returns more than what it meets, the order is learned all the same, and ids that
     fall into one part alone come out as that part made them."""
@@ -491,11 +491,11 @@ def test_parts_train_the_tokens_they_meet(spark, monkeypatch, kind, extra):  # n
     rows = [(u, (u + d) % 6 + 100, 1, f"2021-01-{d + 1:02d}") for u in range(60) for d in range(5)]
     ds = Dataset.construct(rows_of(spark, rows))
     own = {"n_factors": 16, "n_blocks": 1, "n_heads": 2, "session_max_len": 6, "batch_size": 8, "lr": 0.02, "mask_prob": 0.4, "loss": "sampled_softmax", "n_negatives": 8}
-    model = kind(**own, epochs=10).fit(ds)
+    model = kind(**own, epochs=10 if extra == 1 else 25).fit(ds)
     assert model.net.table.dtype == np.float32 and model.net.table.shape == (6 + extra, 16) and "item" not in model.net.p
     context = spark.createDataFrame([(u, datetime(2021, 1, 6)) for u in range(6)], "user_id long, datetime timestamp")
     reco = model.recommend(list(range(6)), ds, 1, False, context=context)
-    assert sum(r["item_id"] == (r["user_id"] + 5) % 6 + 100 for r in reco.collect()) >= 5
+    assert sum(r["item_id"] == (r["user_id"] + 5) % 6 + 100 for r in reco.collect()) >= (5 if extra == 1 else 4)  # masked items teach less
     assert (kind(**own, epochs=2).fit(ds).net.table == kind(**own, epochs=2).fit(ds).net.table).all()
 
 
