@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tracemalloc
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -18,7 +19,8 @@ from tidemark.operators.models.factors import gram_of
 from tidemark.operators.models.sequential import Network, left_padded, loss_of, sessions, time_buckets
 from tidemark.operators.models.sgd import kth_best
 from tidemark.operators import products
-from tidemark.operators.rank import Distance, VectorRanker, nearest, recommend_from_scores
+from tidemark.functions.runtime import in_order, vectors_of
+from tidemark.operators.rank import Catalog, Distance, VectorRanker, nearest, recommend_from_scores
 from tidemark.operators.sampling import triplets
 from tidemark.operators.splits import LastNSplitter, leave_one_out
 from tidemark.plans.cross_validate import cross_validate
@@ -580,6 +582,31 @@ def test_nearest_equals_brute_force(distance):  # noqa: ANN001
             assert column[row == i].tolist() == want.tolist() and np.allclose(score[row == i], s[want], atol=1e-11)
 
 
+@pytest.mark.parametrize("distance", list(Distance))
+def test_search_takes_little_more_memory_than_the_objects(distance):  # noqa: ANN001
+    rng = np.random.default_rng(7)
+    q, c = rng.normal(size=(50, 16)), rng.normal(size=(200_000, 16)).astype(np.float32)
+    tracemalloc.start()
+    got = nearest(q, Catalog(c, distance), 5, distance, np.zeros(0, np.int64), np.zeros(len(q), np.int64))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * c.nbytes  # beside the objects: lengths, their order and a block
+    want = nearest(q, c.astype(float), 5, distance, np.zeros(0, np.int64), np.zeros(len(q), np.int64))
+    assert (got[1] == want[1]).all() and (got[2] == want[2]).all()
+
+
+@pytest.mark.parametrize("names", [[5, 3, 9, 3, -2, 70, 8], ["b", "a", "é", "a", "ab", "B"]])
+def test_ids_are_numbered_and_vectors_written_in_tasks(spark, names):  # noqa: ANN001
+    values = spark.createDataFrame([(x,) for x in names], "x " + ("long" if isinstance(names[0], int) else "string")).repartition(3)
+    table, n = in_order(values, 2)
+    by_bytes = sorted(set(names), key=lambda x: x if isinstance(x, int) else x.encode())
+    assert n == len(by_bytes) and {r["x"]: r["i"] for r in table.collect()} == {x: i + 2 for i, x in enumerate(by_bytes)}
+    vectors = np.arange(2.0 * (n + 2)).reshape(-1, 2).astype(np.float32)
+    found = {r["id"]: (r["factors"], r["bias"]) for r in vectors_of(table, vectors, np.arange(n + 2.0)).collect()}
+    assert found == {x: ([2.0 * i + 4, 2.0 * i + 5], i + 2.0) for i, x in enumerate(by_bytes)}
+    assert in_order(values.limit(0))[1] == 0
+
+
 def test_svd_sums_travel_in_chunks(shared, monkeypatch):  # noqa: ANN001
     monkeypatch.setattr(factors, "CHUNK_ITEMS", 2)  # the sums of six items
     x, users, items = dense_matrix()
