@@ -268,6 +268,23 @@ def test_bpr_users_stay_in_their_parts(spark, monkeypatch):  # noqa: ANN001
     assert model.tables["users"].count() == 60 and model.tables["items"].count() == 20
 
 
+def test_lightfm_users_stay_in_their_parts(spark, monkeypatch):  # noqa: ANN001
+    """Without features of users only the items' parameters travel; a partial fit goes on from the users' vectors."""
+    for name, value in (("PART_CELLS", 20), ("CHUNK_ROWS", 7), ("MOST_NUMBERS", 200)):  # 20 items of 9 numbers; users don't count
+        monkeypatch.setattr(sgd, name, value)
+    rng = np.random.default_rng(0)
+    rows = [(u, int(rng.integers(0, 10)) + 10 * (u % 2), 1, "2021-01-01") for u in range(60) for _ in range(6)]
+    ds = Dataset.construct(rows_of(spark, rows))
+    model = O.LightFMModel(8, loss="warp", epochs=15, learning_rate=0.2, batch=8, random_state=1).fit(ds)
+    right = lambda: (r := model.recommend(list(range(60)), ds, 5, False)).where((F.col("item_id") >= 10) == (F.col("user_id") % 2 == 1)).count() / r.count()
+    assert right() > 0.8 and model.tables["users"].count() == 60 and model.tables["items"].count() == 20
+    before = {r["id"]: r["factors"] for r in model.tables["users"].collect()}
+    model.fit_partial(ds, epochs=0)
+    assert {r["id"]: r["factors"] for r in model.tables["users"].collect()} == before
+    model.fit_partial(ds, epochs=1)
+    assert {r["id"]: r["factors"] for r in model.tables["users"].collect()} != before and right() > 0.8
+
+
 def test_warp_kos_reads_k_and_n(spark):  # noqa: ANN001
     scores = np.array([[0.1, 0.9, 0.5, 7.0], [3.0, 1.0, 2.0, 4.0], [2.0, 9.0, 9.0, 9.0]])
     assert kth_best(scores, np.array([3, 4, 1]), 2).tolist() == [2, 0, 0]  # places beyond a row's count are no draws
