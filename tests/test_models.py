@@ -309,6 +309,38 @@ def test_dssm(spark, shared):  # noqa: ANN001
         O.DSSMModel().fit(shared)
 
 
+def test_dssm_keeps_users_in_their_parts(spark, monkeypatch):  # noqa: ANN001
+    from tidemark.operators.models import sgd
+
+    rng = np.random.default_rng(0)
+    ds_rows = rows_of(spark, [(u, int(rng.integers(0, 10)) * 2 + u % 2, 1, "2021-01-01") for u in range(300) for _ in range(6)])
+    users = spark.createDataFrame([(u, "g", str(u % 2)) for u in range(302)], "id long, feature string, value string")  # two have features alone
+    items = spark.createDataFrame([(i, "f", str(i % 2)) for i in range(22)], "id long, feature string, value string")  # so do two of these
+    ds = Dataset.construct(ds_rows, users, ("g",), item_features_df=items, cat_item_features=("f",))
+    monkeypatch.setattr(sgd, "MOST_NUMBERS", 1_000)  # the users' vectors alone have more
+    monkeypatch.setattr(sgd, "PART_CELLS", 400)
+    for name in ("numbered", "factor_table", "averaged_epoch"):  # these hold names, vectors and changes on the driver
+        monkeypatch.setattr(sgd, name, None)
+    model = O.DSSMModel(8, max_epochs=4, batch_size=32).fit(ds)
+    people, things = ({r["id"]: r["factors"] for r in model.tables[x].collect()} for x in ("users", "items"))
+    assert sorted(people) == list(range(302)) and sorted(things) == list(range(22))
+    assert all(things[i] == things[i % 2] for i in things) and things[0] != things[1]  # equal features, equal vectors
+    reco = model.recommend(list(range(300)), ds, 5, False)
+    assert reco.count() == 1_500 and reco.where(F.col("item_id") % 2 == F.col("user_id") % 2).count() > 1_400
+    assert lists(reco)[1] == lists(VectorRanker("euclidean", model.tables["users"], model.tables["items"]).rank(5).select(F.col("subject").alias("user_id"), F.col("object").alias("item_id"), "score", "rank"))[1]
+
+
+def test_ranker_of_alike_objects(spark):  # noqa: ANN001
+    kind = "id long, factors array<double>"
+    left = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 2.0])], kind)
+    right = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(60)], kind)
+    pairs = spark.createDataFrame([(0, i) for i in range(1, 30, 3)], "s long, o long")
+    allowed = spark.createDataFrame([(i,) for i in range(2, 60)], "id long")
+    for more in ({}, {"filter_pairs": pairs}, {"filter_pairs": pairs, "whitelist": allowed}, {"exclude_self": True}):
+        plain, alike = (VectorRanker("euclidean", left, right).rank(4, **more, alike=a).orderBy("subject", "rank").collect() for a in (False, True))
+        assert plain == alike and len(plain) == 8
+
+
 @pytest.mark.parametrize(("distance", "objects", "scores"), [
     ("dot", [2, 0, 1, 2, 1, 0], [296, 25, 12, 210, 10, 6]), ("cosine", [0, 2, 1, 1, 2, 0], [1, 0.5890328, 0.5366563, 1, 0.9344414, 0.5366563]),
     ("euclidean", [0, 1, 2, 1, 0, 2], [0, 4.58257569, 97.64220399, 2.23606798, 4.24264069, 98.41747812]),
