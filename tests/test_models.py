@@ -18,7 +18,7 @@ from tidemark.operators.models import factors, neighbours, sequential, sgd
 from tidemark.operators.models.factors import gram_of
 from tidemark.operators.models.sequential import Network, left_padded, loss_of, sessions, time_buckets
 from tidemark.operators.models.sgd import kth_best
-from tidemark.operators import products
+from tidemark.operators import products, rank
 from tidemark.functions.runtime import in_order, vectors_of
 from tidemark.operators.rank import Catalog, Distance, VectorRanker, nearest, recommend_from_scores
 from tidemark.operators.sampling import triplets
@@ -681,3 +681,55 @@ def test_svd_sums_travel_in_chunks(shared, monkeypatch):  # noqa: ANN001
     left, right = ({r["id"]: np.array(r["factors"]) for r in t.collect()} for t in O.PureSVDModel(3, random_state=1).fit(shared).get_vectors())
     u, s, v = np.linalg.svd(x, full_matrices=False)
     assert np.allclose([[left[a] @ right[b] for b in items] for a in users], (u[:, :3] * s[:3]) @ v[:3], atol=1e-5)
+
+
+@pytest.mark.parametrize("distance", [Distance.DOT, Distance.COSINE])
+def test_alike_subjects_meet_few_objects(distance, monkeypatch):  # noqa: ANN001
+    """Subjects close to few directions are not multiplied with all objects, and lists are those of brute force."""
+    rng = np.random.default_rng(5)
+    q = np.concatenate([v + 0.01 * rng.normal(size=(2_048, 16)) for v in 2 * rng.normal(size=(3, 16))])[rng.permutation(3 * 2_048)]
+    c, met, block = rng.normal(size=(50_000, 16)), [], Catalog.block
+    monkeypatch.setattr(Catalog, "block", lambda self, *a: met.append(len(out := block(self, *a))) or out)
+    row, column, score = nearest(q, c, 5, distance, np.zeros(0, np.int64), np.zeros(len(q), np.int64))
+    assert sum(met) < 3 * len(c) / 4
+    one = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True) if distance is Distance.COSINE else x
+    for i in range(0, len(q), 500):
+        s = np.round(one(c) @ one(q)[i], 12)
+        assert column[row == i].tolist() == np.lexsort((np.arange(len(c)), -s))[:5].tolist()
+    assert (np.diff(row) >= 0).all()
+
+
+def test_cells_return_what_a_list_can_hold(spark, monkeypatch):  # noqa: ANN001
+    """The lists stay, ties included, and cells return fewer pairs where the best objects for the mean subject are known."""
+    rng = np.random.default_rng(6)
+    table = lambda x: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, factors array<double>")
+    subjects, objects = table(np.r_[1 + 0.1 * rng.normal(size=(60, 3)), np.zeros((1, 3)), -np.ones((1, 3))]), table(np.round(rng.normal(size=(900, 3)), 1))
+    monkeypatch.setattr(rank, "OBJECT_NUMBERS", 1)  # blocks of 256
+    found = []
+    for seeds in (40, 1_000):
+        monkeypatch.setattr(rank, "SEEDS", seeds)
+        lists = VectorRanker("dot", subjects, objects).rank(5)
+        found.append((sorted(map(tuple, lists.collect())), found_pairs(lists)))
+    assert found[0][0] == found[1][0] and len(found[0][0]) == 62 * 5 and found[0][1] < found[1][1] / 2
+
+
+def found_pairs(lists):  # noqa: ANN001, ANN201
+    """Rows that the cells of a ranking returned."""
+    plan = lists._jdf.queryExecution().optimizedPlan()
+    while "FlatMapCoGroups" not in plan.nodeName():
+        plan = plan.children().head()
+    spark = lists.sparkSession
+    return spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, plan).count()
+
+
+@pytest.mark.parametrize("kind", [O.SASRecModel, O.BERT4RecModel])
+def test_lists_continue_the_sessions_of_the_fit(spark, monkeypatch, kind):  # noqa: ANN001
+    """The history is read and sorted once for a fit and its lists; those are the lists of sessions made anew."""
+    rows = [(u, (u * d) % 7 + 100, 1, f"2021-01-{d + 1:02d}") for u in range(20) for d in range(1 + u % 9)] + [(50, 999, 1, "2021-01-01"), (51, 103, 1, "2021-01-01")]
+    ds, again = (Dataset.construct(rows_of(spark, rows)) for _ in range(2))
+    model = kind(n_factors=8, n_blocks=1, n_heads=2, session_max_len=4, epochs=1, train_min_user_interactions=3).fit(ds)
+    calls = []
+    monkeypatch.setattr(sequential, "sessions", lambda *a: calls.append(a) or sessions(*a))
+    users = [*range(15), 50, 51]
+    assert lists(model.recommend(users, ds, 3, False)) == lists(model.recommend(users, again, 3, False))
+    assert len(calls) == 1 and calls[0][0] is not ds.raw
