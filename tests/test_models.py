@@ -733,3 +733,14 @@ def test_lists_continue_the_sessions_of_the_fit(spark, monkeypatch, kind):  # no
     users = [*range(15), 50, 51]
     assert lists(model.recommend(users, ds, 3, False)) == lists(model.recommend(users, again, 3, False))
     assert len(calls) == 1 and calls[0][0] is not ds.raw
+
+
+def test_positions_without_a_target_cost_nothing(spark, monkeypatch):  # noqa: ANN001
+    in_parts(monkeypatch)
+    rows = [(u, (u + d) % 6 + 100, 1, f"2021-01-{d + 1:02d}") for u in range(60) for d in range(5)]
+    model, seen = O.BERT4RecModel(n_factors=8, n_blocks=1, n_heads=2, session_max_len=6, batch_size=8, mask_prob=0.2, loss="sampled_softmax", n_negatives=3), []
+    model.n_items, net = 6, Network("bert4rec", 8, 6, 8, 1, 2, 0, None, True, False)
+    tokens = np.array([[(u + d) % 6 + 2 for d in range(6)] for u, *_ in rows])
+    monkeypatch.setattr(sequential, "loss_of", lambda kind, states, items, y, *a: seen.append((states.shape[:2], y.size, int((y != 0).sum()))) or loss_of(kind, states, items, y, *a))
+    model.train(net, ag.Adam(net.p, 0.01), {"items": tokens, "weights": np.ones(tokens.shape), "times": np.ones(tokens.shape)}, 1, np.random.default_rng(1), np.arange(2, 8))
+    assert seen and all(size == targets and shape == (1, targets) for shape, size, targets in seen)
