@@ -722,7 +722,7 @@ def found_pairs(lists):  # noqa: ANN001, ANN201
     return spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, plan).count()
 
 
-@pytest.mark.parametrize("kind", [O.SASRecModel, O.BERT4RecModel])
+@pytest.mark.parametrize("kind", [O.SASRecModel, O.BERT4RecModel, O.LiGRModel])
 def test_lists_continue_the_sessions_of_the_fit(spark, monkeypatch, kind):  # noqa: ANN001
     """The history is read and sorted once for a fit and its lists; those are the lists of sessions made anew."""
     rows = [(u, (u * d) % 7 + 100, 1, f"2021-01-{d + 1:02d}") for u in range(20) for d in range(1 + u % 9)] + [(50, 999, 1, "2021-01-01"), (51, 103, 1, "2021-01-01")]
